@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from canopy.llm._util import Scratch, as_bytes, prepare
 
@@ -250,17 +251,19 @@ class LineIndex:
         shared = self.counts.where("low < high").select("h1", "h2", "low")
         return mine.join(shared, ["h1", "h2"]).where("id > low or id is null").select("id", "h1", "h2")
 
-    def apply(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
-        """Per row of docs: id, n_lines, n_dropped, and the kept text, or its kept_sha256 instead.
+    def apply(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+        """Per row of docs: id, the columns to carry, n_lines, n_dropped, and the kept text, or its kept_sha256 instead.
 
         The rows' ids must be in the index. The first holder of a shared key keeps all its lines of
         it. A null or empty text is one empty line, kept. Rows that repeat an id are one document;
-        a null id counts after all others, as one document. An empty table gives no rows.
+        a null id counts after all others, as one document. An empty table gives no rows. Columns
+        of docs that are not named take no part.
         """
         lost = self.losses().groupBy("id").agg(F.collect_set(F.struct("h1", "h2")).alias("lost"))
         lost = lost.select(F.col("id").alias("lost_id"), "lost")
-        given = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-        joined = given.join(lost, given["id"].eqNullSafe(lost["lost_id"]), "left").select("id", "text", F.col("lost.h1").alias("h1"), F.col("lost.h2").alias("h2"))
+        more = [f"c{i}" for i in range(len(carry))]
+        given = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"), *(F.col(c).alias(m) for c, m in zip(carry, more)))
+        joined = given.join(lost, given["id"].eqNullSafe(lost["lost_id"]), "left").select("id", "text", *more, F.col("lost.h1").alias("h1"), F.col("lost.h2").alias("h2"))
         prepare(self.spark)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,10 +282,11 @@ class LineIndex:
                     lines.append(n)
                     dropped.append(gone)
                     kept.append(hashlib.sha256(text).hexdigest() if digest else text.decode("utf-8", "replace"))
-                yield pa.RecordBatch.from_arrays([batch["id"], pa.array(lines, pa.int64()), pa.array(dropped, pa.int64()), pa.array(kept, pa.string())], ["id", "n_lines", "n_dropped", "kept"])
+                yield pa.RecordBatch.from_arrays([batch["id"], *(batch[m] for m in more), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64()), pa.array(kept, pa.string())], ["id", *more, "n_lines", "n_dropped", "kept"])
 
-        out = joined.mapInArrow(run, f"id {self.kind}, n_lines bigint, n_dropped bigint, kept string")
-        return out.select(F.col("id").alias(id_col), "n_lines", "n_dropped", F.col("kept").alias("kept_sha256" if digest else text_col))
+        schema = joined.select("id", *more).schema.add("n_lines", T.LongType()).add("n_dropped", T.LongType()).add("kept", T.StringType())
+        out = joined.mapInArrow(run, schema)
+        return out.select(F.col("id").alias(id_col), *(F.col(m).alias(c) for m, c in zip(more, carry)), "n_lines", "n_dropped", F.col("kept").alias("kept_sha256" if digest else text_col))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:

@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from canopy.llm import byte_bpe, gif, line_dedup, packing, simhash
+from canopy.llm import byte_bpe, gif, langid, line_dedup, lm, packing, quality, simhash, topk, urls
 from canopy.llm._util import table
 
 
@@ -23,6 +24,26 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents"), digest=True)
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
+def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
+def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.predict(table(spark, sf_dir, "documents"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.predict(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -32,7 +53,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash, op2_gif, op3_line_dedup, op9_packing, op10_byte_bpe)
+    f.__name__: f for f in (op1_simhash, op2_gif, op3_line_dedup, op4_language, op5_top_k, op6_urls, op7_lm, op8_quality, op9_packing, op10_byte_bpe)
 }
 
 _ASCII_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -51,4 +72,15 @@ marked as (select keyed.*, shared.k is not null and doc_id > low as gone from ke
 select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_dropped,
        sha256(coalesce(string_agg(line, chr(10) order by nr) filter (where not gone), '')) as kept_sha256
 from marked group by doc_id""",
+    "op5_top_k": """
+with v as (
+  select vec_id, [floor(1024 * cast(x as double)) for x in embedding] as e from embeddings
+  where vec_id is not null and embedding is not null and len(embedding) > 0
+    and len([x for x in embedding if x is null or isnan(x) or isinf(x)]) = 0),
+s as (
+  select q.vec_id as query_id, c.vec_id as vec_id,
+         cast(list_inner_product(q.e, c.e) as bigint) as score
+  from v q join v c on q.vec_id % 100 = 0 and c.vec_id <> q.vec_id)
+select query_id, cast(rank as integer) as rank, vec_id, score
+from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s) where rank <= 10""",
 }
