@@ -4,7 +4,8 @@ State, as tables in a shared folder:
 
 - postings: (h1, h2, id), one row for each document and distinct line key it holds. A key is known
   by 128 bits of hash. These are the exact counts' evidence, so a document can be taken out again.
-- counts: (h1, h2, refs, low, high): documents that hold the key, and the least and greatest id.
+- counts: (h1, h2, refs, low, high, bare): documents that hold the key, the least and greatest id, and
+  whether one without an id holds it.
 - filters: (shard, blob): cuckoo filters over the keys that at least two documents hold. They can
   delete, so they follow the counts down as well as up.
 
@@ -33,6 +34,8 @@ from canopy.llm._util import Scratch, as_bytes, prepare
 BLANK = b"\x20\x09\x0a\x0b\x0c\x0d"
 #: Code points that a key needs before its lines may go.
 MIN_POINTS = 10
+#: Over the counts: at least two documents hold the key. Those without an id count as one, after all others.
+SHARED = "low < high or (bare and low is not null)"
 #: Summed filter bytes up to which executors get all filters.
 FILTER_BOUND = 32 << 20
 
@@ -164,7 +167,7 @@ class LineIndex:
         return docs.mapInArrow(run, f"id {self.kind}, h1 bigint, h2 bigint")
 
     def _summary(self, postings: DataFrame) -> DataFrame:
-        return postings.groupBy("h1", "h2").agg(F.count("*").alias("refs"), F.min("id").alias("low"), F.max("id").alias("high"))
+        return postings.groupBy("h1", "h2").agg(F.count("*").alias("refs"), F.min("id").alias("low"), F.max("id").alias("high"), F.bool_or(F.col("id").isNull()).alias("bare"))
 
     def _shard(self) -> F.Column:
         return F.pmod("h1", F.lit(self.shards)).cast("int").alias("shard")
@@ -176,7 +179,7 @@ class LineIndex:
             keys = table["h1"].to_numpy() ^ (table["h2"].to_numpy() << 1)
             return pa.table({"shard": table["shard"][:1], "blob": pa.array([CuckooFilter.build(keys).blob()], pa.binary())})
 
-        shared = counts.where("low < high").select(self._shard(), "h1", "h2")
+        shared = counts.where(SHARED).select(self._shard(), "h1", "h2")
         return shared.groupBy("shard").applyInArrow(build, "shard int, blob binary")
 
     def insert(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> LineIndex:
@@ -188,7 +191,7 @@ class LineIndex:
         if self.counts is None:
             counts = self.scratch.keep(summary)
             return LineIndex(self.spark, self.shards, self.scratch, new, counts, self.scratch.keep(self._filters(counts)), self.kind)
-        both = self.counts.union(summary).groupBy("h1", "h2").agg(F.sum("refs").alias("refs"), F.min("low").alias("low"), F.max("high").alias("high"))
+        both = self.counts.union(summary).groupBy("h1", "h2").agg(F.sum("refs").alias("refs"), F.min("low").alias("low"), F.max("high").alias("high"), F.bool_or("bare").alias("bare"))
         counts = self.scratch.keep(both)
         return self._changed(self.postings.union(new), counts, new.select(self._shard()).distinct())
 
@@ -203,8 +206,8 @@ class LineIndex:
 
     def _changed(self, postings: DataFrame, counts: DataFrame, shards: DataFrame) -> LineIndex:
         """The next index: filters of changed shards lose the keys that are no longer shared and gain the new ones."""
-        was = self.counts.where("low < high").select("h1", "h2")
-        now = counts.where("low < high").select("h1", "h2")
+        was = self.counts.where(SHARED).select("h1", "h2")
+        now = counts.where(SHARED).select("h1", "h2")
         change = was.join(now, ["h1", "h2"], "left_anti").withColumn("add", F.lit(False)).union(now.join(was, ["h1", "h2"], "left_anti").withColumn("add", F.lit(True)))
         change = change.select(self._shard(), "h1", "h2", "add")
 
@@ -248,7 +251,7 @@ class LineIndex:
 
             self.spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "65536")
             mine = mine.mapInArrow(probe, f"id {self.kind}, h1 bigint, h2 bigint")
-        shared = self.counts.where("low < high").select("h1", "h2", "low")
+        shared = self.counts.where(SHARED).select("h1", "h2", "low")
         return mine.join(shared, ["h1", "h2"]).where("id > low or id is null").select("id", "h1", "h2")
 
     def apply(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
