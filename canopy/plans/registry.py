@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from canopy.sources.shipping import ship
 from canopy.sources.views import VIEWS, Views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,7 +62,7 @@ def query(sql: str | None = None, name: str | None = None) -> Callable:
         key = name or f.__name__
         if key in QUERIES:
             raise ValueError(f"{key} is registered twice")
-        QUERIES[key] = lambda spark, sf_dir: f(Views(spark, sf_dir))
+        QUERIES[key] = lambda spark, sf_dir: f(Views(ship(spark), sf_dir))
         if sql:
             ORACLE[key] = with_views(sql)
         return f
