@@ -5,33 +5,50 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canopy.sources.scratch import written
+from canopy.sources.scratch import Scratch
 
 
-def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
-    """edges (a, b): (vertex, root) of every vertex that an edge touches; root is the least of its component.
+def _star(edges: DataFrame, large: bool) -> DataFrame:
+    """edges: (a, b). Large star: neighbours above a vertex move to its least neighbour. Small: those below."""
+    both = edges.union(edges.select("b", "a")) if large else edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    joined = both.join(least, "a")
+    if large:
+        out = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    else:
+        out = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
+    return out.where("a <> b").distinct()
 
-    Large-star and small-star steps, each an aggregate and a join back, so no vertex's edges meet in one
-    task; every round is written to the shared folder, and only a count and a checksum reach the driver.
+
+def roots(edges: DataFrame, scratch: Scratch, rounds: int = 100) -> DataFrame:
+    """edges: (a, b), two comparable non-null columns of one type. Returns (vertex, root) of every
+    vertex but the roots themselves; a root is the least vertex of its component.
+
+    Each step groups by key with partial aggregates and joins the least neighbour back, so a vertex
+    with a third of all edges is never gathered into one task. Every round is written to the shared
+    folder, which cuts lineage; only a count and a checksum of the edges reach the driver.
     """
-    vertices = written(edges.select(F.col("a").alias("vertex")).union(edges.select("b")).distinct())
-    held, mark = written(edges.where("a <> b").select("a", "b").distinct()), None
+    held = scratch.keep(edges.select("a", "b").where("a <> b").distinct())
+    mark = None
     for _ in range(rounds):
-        both = held.union(held.select("b", "a"))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least).where("a <> b").distinct()
-        held = written(small)
-        seen = held.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
+        after = scratch.keep(_star(_star(held, True), False))
+        seen = after.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
+        scratch.drop(held)
+        held = after
         if not seen["n"] or (seen["n"], seen["x"]) == mark:
-            own = held.select(F.col("a").alias("vertex"), F.col("b").alias("root"))
-            return vertices.join(own, "vertex", "left").select("vertex", F.coalesce("root", "vertex").alias("root"))
+            return held.select(F.col("a").alias("vertex"), F.col("b").alias("root"))
         mark = (seen["n"], seen["x"])
     raise RuntimeError("components did not settle")
 
 
+def components(edges: DataFrame) -> DataFrame:
+    """edges (a, b): (vertex, root) of every vertex that an edge touches; root is the least of its component."""
+    scratch = Scratch(edges.sparkSession, "graph")
+    kept = scratch.keep(edges.select("a", "b").distinct())
+    vertices = kept.select(F.col("a").alias("vertex")).union(kept.select("b")).distinct()
+    return vertices.join(roots(kept, scratch), "vertex", "left").select("vertex", F.coalesce("root", "vertex").alias("root"))
+
+
 def cliques(vertices: DataFrame, merges: DataFrame) -> DataFrame:
     """(vertex, root) of all vertices: what merges join, represented by its least member."""
     own = components(merges)
