@@ -1,81 +1,25 @@
-"""What the operators of this subpackage share: shipping code, scratch tables, settings."""
+"""What the operators of this subpackage share."""
 
 from __future__ import annotations
 
-import io
-import os
-import tempfile
-import uuid
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from canopy.sources.shipping import ship
+
 #: Rows in one Arrow batch. Documents may be large, so a batch holds few of them.
 BATCH_ROWS = 512
 #: Characters that numpy steps handle at once; bounds their temporary arrays.
 CHUNK_CHARS = 1 << 20
 
-_shipped: set[str] = set()
-
 
 def prepare(spark: SparkSession, rows: int = BATCH_ROWS) -> SparkSession:
-    """Ship this package to the executors once per application and bound the Arrow batches."""
+    """Send this package to the executors and bound the Arrow batches."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    app = spark.sparkContext.applicationId
-    if app not in _shipped:
-        root = Path(__file__).resolve().parents[1]
-        held = io.BytesIO()
-        with zipfile.ZipFile(held, "w") as z:
-            for p in sorted(root.rglob("*.py")):
-                z.write(p, Path(root.name) / p.relative_to(root))
-        at = Path(tempfile.mkdtemp()) / "canopy_code.zip"
-        at.write_bytes(held.getvalue())
-        spark.sparkContext.addPyFile(str(at))
-        _shipped.add(app)
-    return spark
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, as spark.checkpoint.dir names it.
-
-    Unset (as in tests on one machine), a temporary folder stands in; a cluster without the
-    setting gets a folder in its warehouse, never a machine-local one.
-    """
-    sc = spark.sparkContext
-    at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not at:
-        at = sc.getCheckpointDir()
-    if not at:
-        local = sc.master.startswith("local[") or sc.master == "local"
-        at = f"file://{tempfile.mkdtemp(prefix='canopy-')}" if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
-        sc.setCheckpointDir(at)
-    return at.rstrip("/")
-
-
-class Scratch:
-    """Tables written to the shared folder: they cut lineage and survive lost executors."""
-
-    def __init__(self, spark: SparkSession, name: str) -> None:
-        self.spark, self.at, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
-
-    def keep(self, df: DataFrame) -> DataFrame:
-        """Write df and read it back."""
-        self.n += 1
-        path = f"{self.at}/{self.n}"
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._canopy_path = path
-        return out
-
-    def drop(self, *dfs: DataFrame) -> None:
-        """Delete tables that keep() wrote and that no later step reads."""
-        for df in dfs:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(df._canopy_path)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+    return ship(spark)
 
 
 def crc_mod(id_col: str, n: int) -> Column:

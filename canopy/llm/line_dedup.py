@@ -29,7 +29,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from canopy.llm._util import Scratch, as_bytes, prepare
+from canopy.llm._util import as_bytes, prepare
+from canopy.sources.scratch import Scratch
 
 BLANK = b"\x20\x09\x0a\x0b\x0c\x0d"
 #: Code points that a key needs before its lines may go.

@@ -23,8 +23,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from canopy.llm._util import Scratch, as_bytes, prepare
+from canopy.llm._util import as_bytes, prepare
 from canopy.llm.byte_bpe import batched, loaded
+from canopy.sources.scratch import Scratch
 
 
 def patterns(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:

@@ -20,8 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canopy.llm._util import Scratch, as_bytes, prepare
-from canopy.llm.components import connected_components
+from canopy.llm._util import as_bytes, prepare
+from canopy.operators.graph import roots as roots_of
+from canopy.sources.scratch import Scratch
 
 #: Shingles whose bits are counted at once.
 PART = 1 << 16
@@ -110,7 +111,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     scratch = Scratch(spark, "simhash")
     held = scratch.keep(fingerprints(docs, id_col, text_col, width))
     prints = scratch.keep(held.groupBy("fp").agg(F.min("id").alias("first")))
-    roots = connected_components(links(prints.select("fp"), scratch, distance, blocks), scratch)
+    roots = roots_of(links(prints.select("fp"), scratch, distance, blocks), scratch)
     rooted = prints.join(roots, prints["fp"] == roots["vertex"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     rooted = scratch.keep(rooted)
     component = rooted.groupBy("root").agg(F.min("first").alias("component_id"))

@@ -16,7 +16,8 @@ import xxhash
 from pyspark.sql import functions as F
 
 from canopy.llm import byte_bpe, gif, langid, line_dedup, lm, packing, quality, simhash, topk, urls
-from canopy.llm._util import Scratch
+from canopy.operators.graph import roots as roots_of
+from canopy.sources.scratch import Scratch
 
 WHITE = " \t\n\x0b\x0c\r"
 RANKS, JSON, MODEL = P.path("byte_bpe_50k.tiktoken"), P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model")
@@ -110,9 +111,7 @@ def test_links_have_the_components_of_all_close_pairs(spark, crowd):
     signed = [simhash._signed(x) for x in prints]
     scratch = Scratch(spark, "t")
     edges = simhash.links(spark.createDataFrame([(x,) for x in signed], "fp bigint"), scratch, crowd=crowd)
-    from canopy.llm.components import connected_components
-
-    root = {x["vertex"]: x["root"] for x in connected_components(edges, scratch).collect()}
+    root = {x["vertex"]: x["root"] for x in roots_of(edges, scratch).collect()}
     got = collections.defaultdict(set)
     for x in signed:
         got[root.get(x, x)].add(x)
