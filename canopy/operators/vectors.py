@@ -163,3 +163,13 @@ def without_near(source: DataFrame, reference: DataFrame, threshold: float, neig
     s, r = (x.select("id", normalised(F.col("v")).alias("v")) for x in (source, reference))
     near = nearest(s, r, neighbours, "squared", below=threshold).select("id").distinct()
     return source.join(near, "id", "left_anti")
+
+
+def with_negatives(kept: DataFrame, negatives: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(ids, pairs): kept ids (id) and, for each of them that has negatives (id, negative) but none that is kept, its first one;
+    and the negatives that lie within these ids."""
+    inside = negatives.join(kept, "id", "left_semi").join(kept.select(F.col("id").alias("negative")), "negative", "left_semi").select("id").distinct()
+    lacking = negatives.join(kept, "id", "left_semi").join(inside, "id", "left_anti")
+    every = kept.union(lacking.groupBy("id").agg(F.min("negative").alias("n")).select("n")).distinct()
+    pairs = negatives.join(every, "id", "left_semi").join(every.select(F.col("id").alias("negative")), "negative", "left_semi")
+    return every, pairs.select("id", "negative")

@@ -45,7 +45,7 @@ def knn_topk(v: Views) -> DataFrame:
 
 
 @query(_NEAR.format(d="1 - list_cosine_similarity(a.v, b.v)"))
-def knn_cos_topk(v: Views) -> DataFrame:
+def knn_cos(v: Views) -> DataFrame:
     return _rounded(vectors.nearest(_val(v), _val(v), 5, "cosine"))
 
 

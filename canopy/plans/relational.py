@@ -84,8 +84,7 @@ def parse_yolo(v: Views) -> DataFrame:
 @query("select camera_id, name as n, cast(case when camera_id % 2 = 0 then -1 else camera_id end as int) as eye from camera")
 def parse_kv(v: Views) -> DataFrame:
     line = F.concat(F.lit("name "), F.col("name"), F.lit(" eye "), F.when(F.col("camera_id") % 2 == 0, "Inf").otherwise(F.col("camera_id").cast("string")))
-    spaced = F.regexp_replace(line, "name (.*) eye", "name $1 eye")
-    pairs = v.camera.select("camera_id", "name", readers.key_values(F.regexp_replace(spaced, r"^name .* eye", "eye")).alias("m"))
+    pairs = v.camera.select("camera_id", "name", readers.key_values(F.regexp_replace(line, r"^name .* eye", "eye")).alias("m"))
     return pairs.select("camera_id", F.col("name").alias("n"), F.col("m")["eye"].cast("int").alias("eye"))
 
 
@@ -140,9 +139,7 @@ def to_json(v: Views) -> DataFrame:
 
 @query("select tracking_frame_feature_id, concat(cast(case feature_type when 'body' then 0 when 'face_45' then 1 else 2 end as varchar), ' ', printf('%.6f', bbox_x_center_n), ' ', printf('%.6f', bbox_width_n)) as line from tff")
 def yolo_export(v: Views) -> DataFrame:
-    ranks = v.tff.select("feature_type").distinct()
-    ranks = ranks.select("feature_type", F.size(F.array_distinct(F.array())).alias("z")).drop("z")
-    classes = ranks.agg(F.sort_array(F.collect_set("feature_type")).alias("c"))  # a few names
+    classes = v.tff.agg(F.sort_array(F.collect_set("feature_type")).alias("c"))  # a few names
     return v.tff.join(F.broadcast(classes)).select(ID, F.format_string("%d %.6f %.6f", F.array_position("c", F.col("feature_type")) - 1, "bbox_x_center_n", "bbox_width_n").alias("line"))
 
 
@@ -408,11 +405,18 @@ def j_full_outer(v: Views) -> DataFrame:
     return a.join(b, "m", "full_outer").na.fill(0, ["videos", "images"])
 
 
-@query("with kept as (select vec_id, label from emb where vec_id % 3 = 0), n as (select a.vec_id as id, b.vec_id as negative from kept a join emb b on b.label = (a.label + 1) % 10 and b.vec_id % 50 < 5) select id, count(*) filter (where negative % 3 = 0) as usable, min(negative) as first_negative from n group by id")
+@query("""with neg as (select a.vec_id as id, b.vec_id as negative from emb a join emb b on b.label = (a.label + 1) % 10 and b.vec_id % 50 < 5),
+kept as (select vec_id as id from emb where vec_id % 3 = 0),
+usable as (select distinct n.id from neg n join kept k on n.id = k.id join kept m on n.negative = m.id),
+added as (select min(negative) as id from neg join kept using (id) where id not in (select id from usable) group by neg.id),
+every as (select id from kept union select id from added)
+select n.id, n.negative from neg n join every a on n.id = a.id join every b on n.negative = b.id""")
 def curate_ssl(v: Views) -> DataFrame:
-    kept = v.emb.where("vec_id % 3 = 0").select(F.col("vec_id").alias("id"), ((F.col("label") + 1) % 10).alias("label"))
-    n = kept.join(v.emb.where("vec_id % 50 < 5").select(F.col("vec_id").alias("negative"), "label"), "label")
-    return n.groupBy("id").agg(F.count_if(F.col("negative") % 3 == 0).alias("usable"), F.min("negative").alias("first_negative"))
+    from canopy.operators.vectors import with_negatives
+
+    own = v.emb.select(F.col("vec_id").alias("id"), ((F.col("label") + 1) % 10).alias("label"))
+    neg = own.join(v.emb.where("vec_id % 50 < 5").select(F.col("vec_id").alias("negative"), "label"), "label").select("id", "negative")
+    return with_negatives(own.where("id % 3 = 0").select("id"), neg)[1]
 
 
 # --- tasks ----------------------------------------------------------------------------------------------------
