@@ -250,7 +250,6 @@ class LineIndex:
                             keep[at] = f.has(key[at])
                     yield batch.filter(pa.array(keep))
 
-            self.spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "65536")
             mine = mine.mapInArrow(probe, f"id {self.kind}, h1 bigint, h2 bigint")
         shared = self.counts.where(SHARED).select("h1", "h2", "low")
         return mine.join(shared, ["h1", "h2"]).where("id > low or id is null").select("id", "h1", "h2")
