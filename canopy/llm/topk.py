@@ -185,7 +185,8 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, scale: float = 1024.0, id_c
 
     blocks = "annulus bigint, qids binary, queries binary, floor binary"
     found = "query_id bigint, vec_id bigint, score bigint"
-    body = annuli.select("annulus", "ids", "vectors")
+    # rows are blocks, far wider than the planner thinks: neither side may be broadcast
+    body = annuli.select("annulus", "ids", "vectors").hint("shuffle_merge")
     place = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     # rows of one query id with equal vectors ask the same thing once
     asked = queries.distinct()
