@@ -6,8 +6,8 @@ blocks makes. Distinct fingerprints are joined on these keys and verified. A key
 `crowd` fingerprints share (a large group of near copies) would make its square in pairs; the
 fingerprints of such keys are linked exactly in another way that is linear: two fingerprints differ
 in at most 2 bits just if they have a common neighbour at distance 1 or less, so each is linked to
-the least fingerprint among those with the same neighbour. (For another distance the neighbours
-are those within half of it, rounded up, and a link to the least is verified through the pair.)
+the least fingerprint among those with the same neighbour. (At most 1 bit: just if one is a neighbour
+of the other.)
 """
 
 from __future__ import annotations
@@ -89,12 +89,12 @@ def links(prints: DataFrame, scratch: Scratch, distance: int = 2, blocks: int =
         .select("a", "b")
     )
     crowded = member.where(F.col("n") > crowd).select("fp").distinct()
-    flips = F.array(F.lit(0).cast("bigint"), *(F.lit(_signed(1 << i)) for i in range(64))) if distance == 2 else F.array(F.lit(0).cast("bigint"))
-    if distance == 1:  # a pair at distance 1 has the even one of the two as its common neighbour
-        flips = F.array(F.lit(0).cast("bigint"), *(F.lit(_signed(1 << i)) for i in range(64)))
-        near = crowded.select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("at")).where(F.bit_count("at") % 2 == 0)
-    else:
-        near = crowded.select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("at"))
+    flips = F.array(*(F.lit(_signed(1 << i)) for i in range(64)))
+    near = crowded.select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("at"))
+    if distance < 2:  # neighbours that are there themselves
+        linked = near.join(crowded.select(F.col("fp").alias("at")), "at") if distance else near.where("false")
+        return pairs.union(linked.select(F.col("fp").alias("a"), F.col("at").alias("b"))).distinct()
+    near = near.union(crowded.select("fp", F.col("fp").alias("at")))
     least = near.groupBy("at").agg(F.min("fp").alias("low"), F.count("*").alias("n")).where("n > 1").select("at", "low")
     starred = near.join(least, "at").where("fp <> low").select(F.col("fp").alias("a"), F.col("low").alias("b"))
     return pairs.union(starred).distinct()

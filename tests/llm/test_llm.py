@@ -68,7 +68,7 @@ def plain_fingerprint(text: str | None) -> int:
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-def plain_components(prints: list[int], ids: list) -> list:
+def plain_components(prints: list[int], ids: list, distance: int = 2) -> list:
     root = list(range(len(prints)))
 
     def find(i):
@@ -78,7 +78,7 @@ def plain_components(prints: list[int], ids: list) -> list:
 
     for i in range(len(prints)):
         for j in range(i):
-            if (prints[i] ^ prints[j]).bit_count() <= 2:
+            if (prints[i] ^ prints[j]).bit_count() <= distance:
                 root[find(i)] = find(j)
     least = {}
     for i, d in enumerate(ids):
@@ -96,8 +96,8 @@ def test_simhash(docs, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
-@pytest.mark.parametrize("crowd", [2, 32])
-def test_links_have_the_components_of_all_close_pairs(spark, crowd):
+@pytest.mark.parametrize("crowd,distance", [(2, 2), (32, 2), (2, 1), (32, 1)])
+def test_links_have_the_components_of_all_close_pairs(spark, crowd, distance):
     r = random.Random(crowd)
     prints = []
     for _ in range(6):  # balls around centres, some crowded
@@ -110,12 +110,12 @@ def test_links_have_the_components_of_all_close_pairs(spark, crowd):
     prints = sorted(set(prints))
     signed = [simhash._signed(x) for x in prints]
     scratch = Scratch(spark, "t")
-    edges = simhash.links(spark.createDataFrame([(x,) for x in signed], "fp bigint"), scratch, crowd=crowd)
+    edges = simhash.links(spark.createDataFrame([(x,) for x in signed], "fp bigint"), scratch, distance, crowd=crowd)
     root = {x["vertex"]: x["root"] for x in roots_of(edges, scratch).collect()}
     got = collections.defaultdict(set)
     for x in signed:
         got[root.get(x, x)].add(x)
-    comp = plain_components(prints, list(range(len(prints))))
+    comp = plain_components(prints, list(range(len(prints))), distance)
     want = collections.defaultdict(set)
     for x, c in zip(signed, comp):
         want[c].add(x)
