@@ -98,7 +98,7 @@ class Machine:
 
 
 def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = 12, rate: float = 0.05, decay: float = 1e-4, seed: int = 7) -> Machine:
-    """Adagrad on the logistic loss, classes weighted to count alike in part."""
+    """Adagrad on the logistic loss."""
     size = BUCKETS + len(STRUCTURE)
     if len(set(labels.tolist())) < 2:
         return Machine(0.0, np.zeros(0), np.zeros((0, RANK)), float(labels.mean()) if len(labels) else 0.5)
