@@ -44,6 +44,27 @@ def group_negatives(features: DataFrame, key: str = "video_id", value: str = "va
     return left.join(pairs, ["b", "lg"]).join(right, ["b", "rg"]).where("left_id < right_id").select("left_id", "right_id")
 
 
+def group_negative_sums(features: DataFrame, key: str = "video_id", value: str = "value", width: int = 1 << 16) -> DataFrame:
+    """One row (n, sl, sr): the number of pairs that group_negatives makes, and the sums of their left and right
+    ids; ids are distinct. An id is left of the larger ids, and right of the smaller ones, of other groups.
+
+    Places are counted inside ranges of ids, as in with_rank, and the ranges' sizes are summed up by group.
+    """
+    rows = features.where(F.col(value).isNotNull()).select(F.col(key).alias("id"), F.col(value).alias("g"), F.floor(F.col(key) / width).alias("k"))
+    sizes = rows.groupBy("g", "k").agg(F.count("*").alias("m"))
+    whole = rows.groupBy("k").agg(F.count("*").alias("m"))
+    before = Window.orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    own = sizes.select("g", "k", F.coalesce(F.sum("m").over(before.partitionBy("g")), F.lit(0)).alias("gb"), F.sum("m").over(Window.partitionBy("g")).alias("gn"))
+    every = whole.select("k", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("b"), F.sum("m").over(Window.partitionBy()).alias("n"))
+    below = F.col("b") + F.row_number().over(Window.partitionBy("k").orderBy("id")) - 1
+    of_own = F.col("gb") + F.row_number().over(Window.partitionBy("k", "g").orderBy("id")) - 1
+    placed = rows.join(every, "k").join(own, ["g", "k"]).select("id", "n", "gn", below.alias("below"), of_own.alias("of_own"))
+    smaller = F.col("below") - F.col("of_own")
+    larger = (F.col("n") - 1 - F.col("below")) - (F.col("gn") - 1 - F.col("of_own"))
+    wide = F.col("id").cast("decimal(19,0)")  # the sums pass 64 bits
+    return placed.agg(F.coalesce(F.sum(smaller), F.lit(0)).alias("n"), F.sum(F.when(larger > 0, wide * larger.cast("decimal(18,0)"))).alias("sl"), F.sum(F.when(smaller > 0, wide * smaller.cast("decimal(18,0)"))).alias("sr"))
+
+
 def with_rank(df: DataFrame, *order: str, width: int = 1 << 16) -> DataFrame:
     """df with `rank`, its place (from 1) in the order of columns, the first a number.
 

@@ -330,6 +330,12 @@ def j_social(v: Views) -> DataFrame:
     return few.agg(F.count("*").alias("n"), F.sum("left_id").alias("sl"), F.sum("right_id").alias("sr"))
 
 
+@query()
+def j_social_all(v: Views) -> DataFrame:
+    """j_social over all ids, which its SQL cannot expand: from ranks, without making the pairs."""
+    return mining.group_negative_sums(v.video_feature)
+
+
 @query("with b as (select video_id, value, (row_number() over (order by video_id) - 1) // 200 as k from video_feature) select l.video_id as left_id, r.video_id as right_id from b l join b r on l.k = r.k and l.video_id < r.video_id and l.value <> r.value")
 def j_social_batched(v: Views) -> DataFrame:
     return mining.group_negatives(v.video_feature, batch=200)

@@ -28,3 +28,28 @@ def test_components_of_all_ids(spark):
     for r in want.values():
         size[r] = size.get(r, 0) + 1
     assert {tuple(r) for r in QUERIES["clique_rep_all"](spark, DATA).collect()} == {(r, r, n) for r, n in size.items()}
+
+
+def test_social_pairs_of_all_ids(spark):
+    rows = [(r[0], r[1]) for r in Views(spark, DATA).video_feature.select("video_id", "value").collect()]
+    assert max(k for k, _ in rows) > 2000
+    n = sl = sr = 0
+    seen: list[int] = []
+    seen_of: dict[str, list[int]] = {}
+    totals: dict[str, int] = {}
+    for k, g in sorted(rows):  # every smaller id of another group is a left side
+        fewer = len(seen) - len(seen_of.get(g, []))
+        n, sr, sl = n + fewer, sr + k * fewer, sl + totals.get("", 0) - totals.get(g, 0)
+        seen.append(k)
+        seen_of.setdefault(g, []).append(k)
+        totals[""], totals[g] = totals.get("", 0) + k, totals.get(g, 0) + k
+    assert tuple(QUERIES["j_social_all"](spark, DATA).first()) == (n, sl, sr)
+
+
+def test_social_sums_are_those_of_the_pairs(spark):
+    from canopy.operators import mining
+
+    rows = spark.createDataFrame([(i * 37 % 101, "abc"[i % 3] if i % 7 else None) for i in range(60)], "video_id bigint, value string")
+    pairs = mining.group_negatives(rows.where("value is not null")).collect()
+    want = (len(pairs), sum(r[0] for r in pairs), sum(r[1] for r in pairs))
+    assert tuple(mining.group_negative_sums(rows, width=10).first()) == want
