@@ -9,7 +9,8 @@ from canopy.sources.scratch import Scratch
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """edges: (a, b). Large star: neighbours above a vertex move to its least neighbour. Small: those below."""
+    """edges: (a, b). Large star: neighbours above a vertex move to its least neighbour. Small: those below.
+    Neither makes more rows than there are edges; equal rows may remain."""
     both = edges.union(edges.select("b", "a")) if large else edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
     joined = both.join(least, "a")
@@ -17,25 +18,29 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         out = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
         out = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-    return out.where("a <> b").distinct()
+    return out.where("a <> b")
 
 
-def roots(edges: DataFrame, scratch: Scratch, rounds: int = 100) -> DataFrame:
+def roots(edges: DataFrame, scratch: Scratch, rounds: int = 100, rows: int | None = None) -> DataFrame:
     """edges: (a, b), two comparable non-null columns of one type. Returns (vertex, root) of every
     vertex but the roots themselves; a root is the least vertex of its component.
 
+    rows: about how many edges there are at most, if that is known (see Scratch.keep).
+
     Each step groups by key with partial aggregates and joins the least neighbour back, so a vertex
     with a third of all edges is never gathered into one task. Every round is written to the shared
     folder, which cuts lineage; only a count and a checksum of the edges reach the driver.
     """
-    held = scratch.keep(edges.select("a", "b").where("a <> b").distinct())
-    mark = None
+    held = scratch.keep(edges.select("a", "b").where("a <> b").distinct(), rows)
+    rows, mark = held.count(), None
     for _ in range(rounds):
-        after = scratch.keep(_star(_star(held, True), False))
+        if not rows:
+            return held.select(F.col("a").alias("vertex"), F.col("b").alias("root"))
+        after = scratch.keep(_star(_star(held, True), False).distinct(), rows)
         seen = after.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
         scratch.drop(held)
-        held = after
-        if not seen["n"] or (seen["n"], seen["x"]) == mark:
+        held, rows = after, seen["n"]
+        if (seen["n"], seen["x"]) == mark:
             return held.select(F.col("a").alias("vertex"), F.col("b").alias("root"))
         mark = (seen["n"], seen["x"])
     raise RuntimeError("components did not settle")
