@@ -70,8 +70,9 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def links(prints: DataFrame, scratch: Scratch, distance: int = 2, blocks: int = 4, crowd: int = 32) -> DataFrame:
-    """(a, b): edges with the same components as all pairs of distinct fingerprints within distance.
+def links(prints: DataFrame, scratch: Scratch, distance: int = 2, blocks: int = 4, crowd: int = 32) -> tuple[DataFrame, int]:
+    """(a, b): edges with the same components as all pairs of distinct fingerprints within distance; and the
+    number of rows that blocks share, which tells how large the table of edges may be, about.
 
     prints: one column fp, distinct. distance: 0 to 2.
     """
@@ -79,8 +80,9 @@ def links(prints: DataFrame, scratch: Scratch, distance: int = 2, blocks: int =
         raise ValueError("distance must be 0, 1 or 2")
     masks = F.array(*(F.struct(F.lit(i).alias("i"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(_keys(blocks, distance))))
     keyed = prints.select("fp", F.explode(masks).alias("k")).select("fp", "k.i", "k.key")
-    shared = scratch.keep(keyed.groupBy("i", "key").agg(F.count("*").alias("n")).where("n > 1"))
-    member = scratch.keep(keyed.join(shared, ["i", "key"]))
+    shared = keyed.groupBy("i", "key").agg(F.count("*").alias("n")).where("n > 1")
+    member = scratch.keep(keyed.join(shared, ["i", "key"]), len(_keys(blocks, distance)) * prints.count())
+    rows = member.count()
     few = member.where(F.col("n") <= crowd)
     pairs = (
         few.select("i", "key", F.col("fp").alias("a"))
@@ -93,11 +95,11 @@ def links(prints: DataFrame, scratch: Scratch, distance: int = 2, blocks: int =
     near = crowded.select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("at"))
     if distance < 2:  # neighbours that are there themselves
         linked = near.join(crowded.select(F.col("fp").alias("at")), "at") if distance else near.where("false")
-        return pairs.union(linked.select(F.col("fp").alias("a"), F.col("at").alias("b"))).distinct()
+        return pairs.union(linked.select(F.col("fp").alias("a"), F.col("at").alias("b"))).distinct(), rows
     near = near.union(crowded.select("fp", F.col("fp").alias("at")))
     least = near.groupBy("at").agg(F.min("fp").alias("low"), F.count("*").alias("n")).where("n > 1").select("at", "low")
     starred = near.join(least, "at").where("fp <> low").select(F.col("fp").alias("a"), F.col("low").alias("b"))
-    return pairs.union(starred).distinct()
+    return pairs.union(starred).distinct(), rows
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, distance: int = 2, blocks: int = 4) -> DataFrame:
@@ -110,10 +112,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = prepare(docs.sparkSession)
     scratch = Scratch(spark, "simhash")
     held = scratch.keep(fingerprints(docs, id_col, text_col, width))
-    prints = scratch.keep(held.groupBy("fp").agg(F.min("id").alias("first")))
-    roots = roots_of(links(prints.select("fp"), scratch, distance, blocks), scratch)
+    prints = scratch.keep(held.groupBy("fp").agg(F.min("id").alias("first")), held.count())
+    edges, rows = links(prints.select("fp"), scratch, distance, blocks)
+    roots = roots_of(edges, scratch, rows=rows)
     rooted = prints.join(roots, prints["fp"] == roots["vertex"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    rooted = scratch.keep(rooted)
     component = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     of = rooted.join(component, "root").select("fp", "component_id")
     return held.join(of, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

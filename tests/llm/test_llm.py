@@ -110,7 +110,7 @@ def test_links_have_the_components_of_all_close_pairs(spark, crowd, distance):
     prints = sorted(set(prints))
     signed = [simhash._signed(x) for x in prints]
     scratch = Scratch(spark, "t")
-    edges = simhash.links(spark.createDataFrame([(x,) for x in signed], "fp bigint"), scratch, distance, crowd=crowd)
+    edges, _ = simhash.links(spark.createDataFrame([(x,) for x in signed], "fp bigint"), scratch, distance, crowd=crowd)
     root = {x["vertex"]: x["root"] for x in roots_of(edges, scratch).collect()}
     got = collections.defaultdict(set)
     for x in signed:
