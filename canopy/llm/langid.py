@@ -3,7 +3,8 @@
 Over the fixed vocabulary of a public piece model, each language has piece probabilities. The
 probability of a word is the sum over all its segmentations into pieces, which a forward algorithm
 gives; a text's is the product over its words. The forward pass runs in numpy over many words at
-once: substrings are followed through a hash table of the pieces' prefixes.
+once: substrings are followed through a hash table of the pieces' prefixes. Words of any length are summed
+whole: beyond SHORT codepoints in logarithms, over a window as wide as the longest piece.
 
 Training is one expectation step: under the vocabulary's own order (Zipf), forward and backward
 passes give the expected number of times that each piece is used in each language's words. It
@@ -25,12 +26,16 @@ from pyspark.sql import types as T
 
 from canopy.llm._util import as_bytes, crc_mod, prepare
 
-#: Words are cut into slices of this many codepoints; the forward pass works on slices.
-SLICE = 32
+#: Probabilities of words up to this many codepoints fit a double; those of longer ones are kept as logarithms.
+SHORT = 32
+#: Training alone reads longer words in parts of this many codepoints.
+PART = 4096
+#: Codepoints of one grid of words, about.
+CELLS = 1 << 20
 #: Probability of a codepoint that no piece covers.
 FLOOR = 1e-7
-#: Words whose probabilities a Python worker holds.
-CACHE = 300_000
+#: Words whose probabilities a Python worker holds, and their codepoints.
+CACHE, CACHE_POINTS = 300_000, 1 << 24
 UNDETERMINED = "und"
 
 
@@ -108,31 +113,68 @@ class Pieces:
         """Log probability of each word under each column of prob (pieces by columns; the last row is the floor)."""
         out = np.zeros((len(words), prob.shape[1]))
         for rows, grid, size in _grids(words):
+            if grid.shape[1] > SHORT:
+                out[rows] = self._forward_long(grid, size, np.log(prob))
+                continue
             alpha = np.zeros((grid.shape[1] + 1, len(rows), prob.shape[1]))
             alpha[0] = 1
             for start, length, some, found in self.spans(grid, size):
                 alpha[start + length, some] += alpha[start, some] * prob[found]
-            np.add.at(out, rows, np.log(alpha[size, np.arange(len(rows))]))
+            out[rows] = np.log(alpha[size, np.arange(len(rows))])
+        return out
+
+    def _forward_long(self, grid: np.ndarray, size: np.ndarray, logs: np.ndarray) -> np.ndarray:
+        """The same in logarithms; what lies further back than the longest piece is forgotten. size ascends."""
+        window, n = self.longest + 1, len(size)
+        out = np.zeros((n, logs.shape[1]))
+        alpha = np.full((window, n, logs.shape[1]), -np.inf)
+        alpha[0] = 0
+        at = 0
+        for start, length, some, found in self.spans(grid, size):
+            if start > at:  # every position of the longest word has a piece
+                alpha[at % window] = -np.inf
+                at = start
+                done = slice(*np.searchsorted(size, [start, start + 1]))
+                out[done] = alpha[start % window, done]
+            to = (start + length) % window
+            alpha[to, some] = np.logaddexp(alpha[to, some], alpha[start % window, some] + logs[found])
+        done = slice(np.searchsorted(size, grid.shape[1]), n)
+        out[done] = alpha[grid.shape[1] % window, done]
         return out
 
     def expected(self, words: list[str], times: np.ndarray, base: np.ndarray) -> np.ndarray:
         """Expected uses of each piece (and of the floor) in words that occur times (words by languages)."""
         out = np.zeros((len(self.pieces) + 1, times.shape[1]))
-        for rows, grid, size in _grids(words):
-            n = len(rows)
-            alpha, beta = np.zeros((grid.shape[1] + 1, n)), np.zeros((grid.shape[1] + 1, n))
-            alpha[0] = 1
+        parts, owner = [], []
+        for i, w in enumerate(words):
+            for a in range(0, len(w), PART):
+                parts.append(w[a : a + PART])
+                owner.append(i)
+        logs = np.log(base)
+        for rows, grid, size in _grids(parts):
+            n, own, end = len(rows), np.array(owner, np.int64)[rows], np.arange(len(rows))
             spans = list(self.spans(grid, size))
+            short = grid.shape[1] <= SHORT
+            alpha, beta = (np.full((grid.shape[1] + 1, n), 0.0 if short else -np.inf) for _ in "ab")
+            alpha[0] = beta[size, end] = 1 if short else 0
             for start, length, some, found in spans:
-                alpha[start + length, some] += alpha[start, some] * base[found]
-            total = alpha[size, np.arange(n)]
-            beta[size, np.arange(n)] = 1
+                if short:
+                    alpha[start + length, some] += alpha[start, some] * base[found]
+                else:
+                    alpha[start + length, some] = np.logaddexp(alpha[start + length, some], alpha[start, some] + logs[found])
+            total = alpha[size, end]
             for start, length, some, found in reversed(spans):
-                beta[start, some] += base[found] * beta[start + length, some]
+                if short:
+                    beta[start, some] += base[found] * beta[start + length, some]
+                else:
+                    beta[start, some] = np.logaddexp(beta[start, some], logs[found] + beta[start + length, some])
             for start, length, some, found in spans:
-                use = alpha[start, some] * base[found] * beta[start + length, some] / total[some]
+                if short:
+                    use = alpha[start, some] * base[found] * beta[start + length, some] / total[some]
+                else:
+                    use = np.exp(alpha[start, some] + logs[found] + beta[start + length, some] - total[some])
                 for k in range(times.shape[1]):
-                    out[:, k] += np.bincount(found % len(out), use * times[rows[some], k], len(out))
+                    out[:, k] += np.bincount(found % len(out), use * times[own[some], k], len(out))
         return out
 
 
@@ -147,21 +189,22 @@ def _extend(h: int, c: int) -> int:
 
 
 def _grids(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Slices of words as (row of the word, codepoints padded with 0, sizes), few sizes in one grid."""
-    slices, owner = [], []
-    for i, w in enumerate(words):
-        for at in range(0, len(w), SLICE):
-            slices.append(w[at : at + SLICE])
-            owner.append(i)
-    size = np.fromiter(map(len, slices), np.int64, len(slices))
+    """Words as (places in the list, codepoints padded with 0, sizes), sizes ascending, of bounded size together.
+    Words of over SHORT codepoints have grids of their own; empty words have none."""
+    size = np.fromiter(map(len, words), np.int64, len(words))
     order = np.argsort(size, kind="stable")
-    for at in range(0, len(order), 16_384):
-        some = order[at : at + 16_384]
-        own = size[some]
-        grid = np.zeros((len(some), int(own[-1])), np.uint64)
-        flat = np.frombuffer("".join(slices[i] for i in some.tolist()).encode("utf-32-le", "surrogatepass"), "<u4")
+    at, edge = int((size == 0).sum()), int((size <= SHORT).sum())
+    while at < len(order):
+        stop = edge if at < edge else len(order)
+        own = size[order[at : min(stop, at + 16_384)]]
+        fits = own * np.arange(1, len(own) + 1) <= CELLS
+        n = max(1, len(own) if fits.all() else int(fits.argmin()))
+        some, own = order[at : at + n], own[:n]
+        grid = np.zeros((n, int(own[-1])), np.uint64)
+        flat = np.frombuffer("".join(words[i] for i in some.tolist()).encode("utf-32-le", "surrogatepass"), "<u4")
         grid[np.arange(grid.shape[1]) < own[:, None]] = flat
-        yield np.array(owner, np.int64)[some], grid, own
+        yield some, grid, own
+        at += n
 
 
 @functools.cache
@@ -186,7 +229,7 @@ def zipf(n: int) -> np.ndarray:
 def train(docs: DataFrame, path: str, is_train: Column, sample: int = 1500, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
     """(languages, piece probabilities by language) from labelled rows that is_train selects.
 
-    sample: about so many documents of each language are read; they are picked by a hash of the id.
+    sample: about so many documents of each language are read; they are picked by a hash of the id and the text.
     """
     spark = prepare(docs.sparkSession)
     labelled = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), is_train.alias("own")).where("own and lang is not null")
@@ -195,7 +238,7 @@ def train(docs: DataFrame, path: str, is_train: Column, sample: int = 1500, id_c
     if not langs:
         return [], np.zeros((0, 0))
     share = F.create_map(*(F.lit(x) for k, n in known.items() for x in (k, min(1.0, sample / n))))
-    picked = labelled.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
+    picked = labelled.where(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 62)) < (share[F.col("lang")] * float(1 << 62)).cast("bigint"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = loaded(path)
@@ -236,15 +279,17 @@ class Scorer:
 
     def clear(self) -> None:
         self.row: dict[str, int] = {}
+        self.points = 0
         self.table = np.zeros((1 << 16, len(self.langs)))
 
     def score(self, texts: list[str]) -> Iterator[tuple[str, float]]:
         held = [words_of(x) for x in texts]
-        if len(self.row) > CACHE:
+        if len(self.row) > CACHE or self.points > CACHE_POINTS:
             self.clear()
         fresh = list(set().union(*held).difference(self.row))
         if fresh and self.langs:
             first = len(self.row)
+            self.points += sum(map(len, fresh))
             while first + len(fresh) > len(self.table):
                 self.table = np.concatenate([self.table, np.zeros_like(self.table)])
             for at in range(0, len(fresh), 1 << 16):
@@ -302,7 +347,9 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 def predict(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Per row: id, held_out, lang_pred, score. Rows with crc32(id) mod 4 = 2 are held out of training; so
-    is a row without an id, which counts as not held out. Columns that clash with these names take no part."""
+    is a row without an id, which counts as not held out. A null text, or one without a letter, is `und` with score
+    0; whole texts count, however long their words. Repeated rows each get a row; an empty table gives none. Columns
+    that clash with these names take no part."""
     model = train(docs, path, crc_mod(id_col, 4) != 2, id_col=id_col, text_col=text_col, lang_col=lang_col)
     seen = identify(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), path, model)
     return seen.select(F.col("id").alias(id_col), held_out("id").alias("held_out"), F.col("__language.lang").alias("lang_pred"), F.col("__language.score").alias("score"))
