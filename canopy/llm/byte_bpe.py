@@ -20,6 +20,7 @@ import base64
 import functools
 import hashlib
 import json
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -263,7 +264,8 @@ _FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 class ByteBPE:
     """Ids of pieces by merging the adjacent pair of lowest rank until none is known."""
 
-    def __init__(self, ranks: dict[bytes, int], cache_size: int = 100_000) -> None:
+    def __init__(self, ranks: dict[bytes, int], cache_size: int = 100_000, added: dict[str, int] | None = None) -> None:
+        self.added = added or {}
         self.tokens = [b""] * (max(ranks.values()) + 1)
         for token, i in ranks.items():
             self.tokens[i] = token
@@ -288,14 +290,18 @@ class ByteBPE:
 
     @classmethod
     def from_json(cls, path: str) -> ByteBPE:
-        """A vocabulary file of the tokenizers library, whose tokens spell bytes as printable characters."""
+        """A vocabulary file of the tokenizers library, whose tokens spell bytes as printable characters. Its added
+        tokens, which stand apart from the words around them, count for encode_with_added()."""
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in set(shown)]
         spelt = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
         with open(path, encoding="utf-8") as f:
             read = json.load(f)
-        special = {x["id"] for x in read["added_tokens"]}
-        return cls({bytes(spelt[c] for c in k): v for k, v in read["model"]["vocab"].items() if v not in special})
+        added = {x["content"]: x["id"] for x in read["added_tokens"]}
+        if any(x[k] for x in read["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError("added tokens that take in their surroundings are not supported")
+        special = set(added.values())
+        return cls({bytes(spelt[c] for c in k): v for k, v in read["model"]["vocab"].items() if v not in special}, added=added)
 
     def _table(self, keys: np.ndarray, values: np.ndarray) -> None:
         """An open-addressing table of pairs; slots hold a key, or -1."""
@@ -472,6 +478,18 @@ class ByteBPE:
             for x, y in zip([0, *upto.tolist()], upto.tolist()):
                 yield data[x:y]
 
+    def encode_with_added(self, texts: list[str]) -> Iterator[bytes]:
+        """Ids of each text as the tokenizers library gives them: a text is cut at added tokens (leftmost first, of
+        those that start together the longest), which become their own ids."""
+        if not self.added:
+            yield from self.encode(texts)
+            return
+        longest = sorted(self.added, key=len, reverse=True)
+        parted = [re.split(f"({'|'.join(map(re.escape, longest))})", x) if any(t in x for t in longest) else [x] for x in texts]
+        coded = self.encode([x for parts in parted for x in parts[::2]])
+        for parts in parted:
+            yield b"".join(np.array([self.added[x]], "<u4").tobytes() if i % 2 else next(coded) for i, x in enumerate(parts))
+
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 

@@ -114,9 +114,10 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 def pack_documents(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per piece: id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    path: a vocabulary file of the tokenizers library (byte-level BPE). A null or empty text is one
-    piece that holds end_id alone. Every row is packed, also if its id is null or occurs again. An
-    empty table gives no rows. Other columns of docs take no part, whatever their names.
+    path: a vocabulary file of the tokenizers library (byte-level BPE); ids are the library's, those of its added
+    tokens included. A null or empty text is one piece that holds end_id alone. Every row is packed, also if its id
+    is null or occurs again, and whole, however long its text is. An empty table gives no rows. Other columns of docs
+    take no part, whatever their names.
     """
     spark = prepare(docs.sparkSession)
     scratch = Scratch(spark, "packing")
@@ -126,7 +127,7 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = 1024, end_id: int
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             row, which, start, length, crc, rank = [], [], [], [], [], []
-            for i, ids in enumerate(bpe.encode(batched(as_bytes(batch["text"])))):
+            for i, ids in enumerate(bpe.encode_with_added(batched(as_bytes(batch["text"])))):
                 ids += end
                 for k, (a, n) in enumerate(cut(len(ids) // 4, capacity)):
                     row.append(i)
