@@ -2,17 +2,19 @@
 
 State, as tables in a shared folder:
 
-- postings: (h1, h2, id), one row for each document and distinct line key it holds. A key is known
-  by 128 bits of hash. These are the exact counts' evidence, so a document can be taken out again.
+- postings: (id, t, h1, h2), one row for each document and distinct line key it holds; t is a hash of the text, which
+  tells rows without an id apart. A key is known by 128 bits of hash. These are the exact counts' evidence, so a
+  document can be taken out again.
 - counts: (h1, h2, refs, low, high, bare): documents that hold the key, the least and greatest id, and
   whether one without an id holds it.
 - filters: (shard, blob): cuckoo filters over the keys that at least two documents hold. They can
   delete, so they follow the counts down as well as up.
 
 To decide which lines go, a document's keys first meet the filters: a key that no filter knows is
-held by one document only, and that settles most lines where they stand. Only the rest is joined
-with the exact counts. The filters are sent to the executors just while their summed size, which
-is checked, is under a bound; beyond it every key takes the exact join, with equal results.
+held by one document only, and that settles most lines. Only the rest is joined with the exact counts. Postings and
+filters meet shard by shard: both are dealt by shard and sorted, so a task holds one filter while the postings
+stream by. The number of shards follows the number of keys, so a filter has a bounded size; a shard that a very
+common key makes larger than others is dealt over several tasks, each with a copy of the filter.
 
 insert() and delete() touch the counts of the batch's keys alone, and rewrite only the filters of
 shards whose shared keys changed.
@@ -37,8 +39,8 @@ BLANK = b"\x20\x09\x0a\x0b\x0c\x0d"
 MIN_POINTS = 10
 #: Over the counts: at least two documents hold the key. Those without an id count as one, after all others.
 SHARED = "low < high or (bare and low is not null)"
-#: Summed filter bytes up to which executors get all filters.
-FILTER_BOUND = 32 << 20
+#: Keys of a shard, about, at most; and shards, at least.
+SHARD_KEYS, SHARDS = 1 << 20, 64
 
 
 class CuckooFilter:
@@ -146,13 +148,13 @@ def _digest(keys: list[bytes]) -> np.ndarray:
 class LineIndex:
     """The state over a set of documents; each change gives a new index and leaves the old one usable."""
 
-    def __init__(self, spark: SparkSession, shards: int = 64, scratch: Scratch | None = None, postings: DataFrame | None = None, counts: DataFrame | None = None, filters: DataFrame | None = None, kind: str = "bigint") -> None:
+    def __init__(self, spark: SparkSession, shards: int = SHARDS, scratch: Scratch | None = None, postings: DataFrame | None = None, counts: DataFrame | None = None, filters: DataFrame | None = None, kind: str = "bigint") -> None:
         self.spark, self.shards, self.kind = spark, shards, kind
         self.scratch = scratch or Scratch(spark, "lines")
         self.postings, self.counts, self.filters = postings, counts, filters
 
     def _read(self, docs: DataFrame) -> DataFrame:
-        """(id, h1, h2) of each document row and distinct countable key."""
+        """(id, t, h1, h2) of each document row and distinct countable key."""
         prepare(self.spark)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,9 +165,10 @@ class LineIndex:
                     keys += own
                     row += [i] * len(own)
                 h = _digest(keys)
-                yield pa.RecordBatch.from_arrays([batch["id"].take(pa.array(row, pa.int64())), pa.array(np.ascontiguousarray(h[:, 0])), pa.array(np.ascontiguousarray(h[:, 1]))], ["id", "h1", "h2"])
+                at = pa.array(row, pa.int64())
+                yield pa.RecordBatch.from_arrays([batch["id"].take(at), batch["t"].take(at), pa.array(np.ascontiguousarray(h[:, 0])), pa.array(np.ascontiguousarray(h[:, 1]))], ["id", "t", "h1", "h2"])
 
-        return docs.mapInArrow(run, f"id {self.kind}, h1 bigint, h2 bigint")
+        return docs.mapInArrow(run, f"id {self.kind}, t bigint, h1 bigint, h2 bigint")
 
     def _summary(self, postings: DataFrame) -> DataFrame:
         return postings.groupBy("h1", "h2").agg(F.count("*").alias("refs"), F.min("id").alias("low"), F.max("id").alias("high"), F.bool_or(F.col("id").isNull()).alias("bare"))
@@ -185,17 +188,25 @@ class LineIndex:
 
     def insert(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> LineIndex:
         """Add documents whose ids the index lacks."""
-        given = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
+        given = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("binary")).alias("t"), F.col(text_col).cast("binary").alias("text"))
         self.kind = given.schema["id"].dataType.simpleString()
         new = self.scratch.keep(self._read(given))
         summary = self._summary(new)
         if self.counts is None:
-            counts = self.scratch.keep(summary)
-            return LineIndex(self.spark, self.shards, self.scratch, new, counts, self.scratch.keep(self._filters(counts)), self.kind)
+            return self._built(new, self.scratch.keep(summary))
         both = self.counts.union(summary).groupBy("h1", "h2").agg(F.sum("refs").alias("refs"), F.min("low").alias("low"), F.max("high").alias("high"), F.bool_or("bare").alias("bare"))
         counts = self.scratch.keep(both)
+        if counts.count() > 2 * SHARD_KEYS * self.shards:
+            return self._built(self.postings.union(new), counts)
         return self._changed(self.postings.union(new), counts, new.select(self._shard()).distinct())
 
+    def _built(self, postings: DataFrame, counts: DataFrame) -> LineIndex:
+        """An index with as many shards as its keys need, and new filters."""
+        shards = max(self.shards, 1 << max(0, -(-counts.count() // SHARD_KEYS) - 1).bit_length())
+        out = LineIndex(self.spark, shards, self.scratch, postings, counts, None, self.kind)
+        out.filters = self.scratch.keep(out._filters(counts))
+        return out
+
     def delete(self, ids: DataFrame, id_col: str = "doc_id") -> LineIndex:
         """Take out documents; lines that they alone shared with another come back for that one."""
         gone = ids.select(F.col(id_col).alias("id")).distinct()
@@ -228,45 +239,51 @@ class LineIndex:
         filters = self.scratch.keep(updated.where("blob is not null").union(rebuilt))
         return LineIndex(self.spark, self.shards, self.scratch, postings, counts, filters, self.kind)
 
-    def losses(self, bound: int = FILTER_BOUND) -> DataFrame:
-        """(id, h1, h2): keys whose lines the document loses, since a smaller id holds them."""
-        mine = self.postings
-        size = self.filters.agg(F.sum(F.length("blob"))).first()[0] or 0
-        if size <= bound:
-            every = self.spark.sparkContext.broadcast({r["shard"]: r["blob"] for r in self.filters.collect()})
-            shards = self.shards
-
-            def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                have = {s: CuckooFilter.read(b) for s, b in every.value.items()}
-                for batch in batches:
-                    h1, h2 = batch["h1"].to_numpy(), batch["h2"].to_numpy()
-                    key, shard = h1 ^ (h2 << 1), h1 % shards
-                    keep = np.zeros(len(key), bool)
-                    order = np.argsort(shard, kind="stable")
-                    edge = np.searchsorted(shard[order], np.arange(shards + 1))
-                    for s, f in have.items():
-                        at = order[edge[s] : edge[s + 1]]
-                        if len(at):
-                            keep[at] = f.has(key[at])
-                    yield batch.filter(pa.array(keep))
-
-            mine = mine.mapInArrow(probe, f"id {self.kind}, h1 bigint, h2 bigint")
+    def losses(self) -> DataFrame:
+        """(id, t, h1, h2): keys whose lines the document loses, since a smaller id holds them."""
+        mine = self.postings.select(self._shard(), F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("blob"), "id", "t", "h1", "h2")
+        # refs of each shard, most of them alike; a number of tasks for those that a common key makes large
+        refs = self.counts.groupBy(self._shard()).agg(F.sum("refs").alias("refs"))
+        mean = refs.agg(F.mean("refs")).first()[0] or 1.0
+        large = {r["shard"]: int(-(-r["refs"] // mean)) for r in refs.where(F.col("refs") > 2 * mean).collect()}  # sums of the refs bound them: fewer than half the shards
+        tasks = F.coalesce(F.create_map(*(F.lit(x) for pair in large.items() for x in pair))[F.col("shard")], F.lit(1)) if large else F.lit(1)
+        mine = mine.withColumn("task", F.pmod(F.xxhash64("id", "t"), tasks).cast("int"))
+        nothing = (F.lit(None).cast(c).alias(n) for c, n in ((self.kind, "id"), ("bigint", "t"), ("bigint", "h1"), ("bigint", "h2")))
+        every = self.filters.select("shard", F.lit(0).alias("kind"), "blob", *nothing, F.explode(F.sequence(F.lit(0), tasks - 1)).alias("task"))
+        dealt = mine.unionByName(every).repartition("shard", "task").sortWithinPartitions("shard", "task", "kind")
+
+        def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            filter_, of = None, None
+            for batch in batches:
+                where = batch["shard"].to_numpy().astype(np.int64) << 32 | batch["task"].to_numpy()
+                kind, keep = batch["kind"].to_numpy(), np.zeros(batch.num_rows, bool)
+                h1, h2 = (batch[c].fill_null(0).to_numpy() for c in ("h1", "h2"))
+                key = h1 ^ (h2 << 1)
+                edge = np.concatenate([[0], np.flatnonzero((where[1:] != where[:-1]) | (kind[1:] != kind[:-1])) + 1, [batch.num_rows]])
+                for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
+                    if a < b and kind[a] == 0:
+                        filter_, of = CuckooFilter.read(batch["blob"][a].as_py()), where[a]
+                    elif a < b and of == where[a]:
+                        keep[a:b] = filter_.has(key[a:b])
+                yield batch.select(["id", "t", "h1", "h2"]).filter(pa.array(keep))
+
+        maybe = dealt.mapInArrow(probe, f"id {self.kind}, t bigint, h1 bigint, h2 bigint")
         shared = self.counts.where(SHARED).select("h1", "h2", "low")
-        return mine.join(shared, ["h1", "h2"]).where("id > low or id is null").select("id", "h1", "h2")
+        return maybe.join(shared, ["h1", "h2"]).where("id > low or id is null").select("id", "t", "h1", "h2")
 
     def apply(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
         """Per row of docs: id, the columns to carry, n_lines, n_dropped, and the kept text, or its kept_sha256 instead.
 
         The rows' ids must be in the index. The first holder of a shared key keeps all its lines of
         it. A null or empty text is one empty line, kept. Rows that repeat an id are one document;
-        a null id counts after all others, as one document. An empty table gives no rows. Columns
-        of docs that are not named take no part.
+        a null id counts after all others, as one document. Whole texts count, however long. An empty table gives no
+        rows. Columns of docs that are not named take no part.
         """
-        lost = self.losses().groupBy("id").agg(F.collect_set(F.struct("h1", "h2")).alias("lost"))
-        lost = lost.select(F.col("id").alias("lost_id"), "lost")
+        lost = self.losses().groupBy("id", "t").agg(F.collect_set(F.struct("h1", "h2")).alias("lost"))
+        lost = lost.select(F.col("id").alias("lost_id"), F.col("t").alias("lost_t"), "lost")
         more = [f"c{i}" for i in range(len(carry))]
-        given = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"), *(F.col(c).alias(m) for c, m in zip(carry, more)))
-        joined = given.join(lost, given["id"].eqNullSafe(lost["lost_id"]), "left").select("id", "text", *more, F.col("lost.h1").alias("h1"), F.col("lost.h2").alias("h2"))
+        given = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("binary")).alias("t"), F.col(text_col).cast("binary").alias("text"), *(F.col(c).alias(m) for c, m in zip(carry, more)))
+        joined = given.join(lost, (given["t"] == lost["lost_t"]) & given["id"].eqNullSafe(lost["lost_id"]), "left").select("id", "text", *more, F.col("lost.h1").alias("h1"), F.col("lost.h2").alias("h2"))
         prepare(self.spark)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
