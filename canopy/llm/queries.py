@@ -75,7 +75,7 @@ from marked group by doc_id""",
     "op5_top_k": """
 with v as (
   select vec_id, [floor(1024 * cast(x as double)) for x in embedding] as e from embeddings
-  where vec_id is not null and embedding is not null and len(embedding) > 0
+  where vec_id is not null and embedding is not null
     and len([x for x in embedding if x is null or isnan(x) or isinf(x)]) = 0),
 s as (
   select q.vec_id as query_id, c.vec_id as vec_id,
