@@ -4,7 +4,7 @@ A rule names a host and a path; it fits that host and its subdomains, where the
 the rule's, and the longest fitting rule decides. URLs that a rule decides are the labelled ones:
 the trees are trained in numpy on a bounded sample of them (a hash of the url picks it) and judge
 the others by length, depth, digit ratio, entropy, parameter counts and the like, and by statistics
-of the host's suffix that are counted over all labelled URLs.
+of the host's suffix that are counted over all labelled URLs and joined to every URL.
 """
 
 from __future__ import annotations
@@ -17,12 +17,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from canopy.llm._util import prepare
+from canopy.llm._util import prepare, sampled
 
 #: (verdict, host, path) in the order in which they are listed.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-#: Labelled URLs, about, that train the trees, and suffixes whose statistics are kept.
-SAMPLE, SUFFIXES = 20_000, 4096
+#: Labelled URLs, about, that train the trees.
+SAMPLE = 20_000
 FEATURES = ("length", "host length", "path length", "labels in host", "depth", "digit ratio", "entropy", "parameters", "query length", "marks", "upper ratio", "fragment", "secure", "longest segment", "vowel ratio", "suffix block rate", "suffix count")
 
 
@@ -43,15 +43,11 @@ def ruled(host: Column, path: Column, rules: tuple = RULES) -> Column:
     return out
 
 
-def suffix(host: str) -> str:
-    return host.rsplit(".", 1)[-1]
-
-
-def features(url: str, host: str, path: str, rates: dict[str, tuple[float, float]]) -> list[float]:
+def features(url: str, host: str, path: str, rate: float, count: float) -> list[float]:
+    """rate: the share of blocked ones among labelled URLs of the host's suffix; count: the logarithm of their number."""
     n = max(1, len(url))
     letters = np.unique(np.frombuffer(url.encode("utf-32-le", "surrogatepass"), "<u4"), return_counts=True)[1] / n
     query = url.split("#", 1)[0].partition("?")[2]
-    rate, count = rates.get(suffix(host), (0.5, 0.0))
     return [
         len(url), len(host), len(path), host.count(".") + 1, sum(1 for x in path.split("/") if x), sum(map(str.isdigit, url)) / n,
         float(-(letters * np.log2(letters)).sum()), query.count("=") + query.count("&"), len(query), sum(url.count(x) for x in "-_%~+"),
@@ -128,44 +124,48 @@ class Trees:
         return 1 / (1 + np.exp(-z))
 
 
-def train(urls: DataFrame) -> tuple[Trees, dict[str, tuple[float, float]]]:
-    """Trees and suffix statistics from rows (url, host, path, ruled) that a rule decides; label 1 is block."""
-    own = urls.where("ruled is not null").select("url", "host", "path", (F.col("ruled.verdict") == "block").cast("int").alias("y"))
-    by_suffix = own.groupBy(F.substring_index("host", ".", -1).alias("s")).agg(F.sum("y").alias("y"), F.count("*").alias("n"))
-    kept = by_suffix.orderBy(F.desc("n"), "s").limit(SUFFIXES).collect()
-    rates = {r["s"]: ((r["y"] + 1) / (r["n"] + 2), float(np.log1p(r["n"]))) for r in kept}
-    n = sum(r["n"] for r in kept)
-    share = min(1.0, SAMPLE / max(1, n))
-    rows = own.where(F.pmod(F.xxhash64("url"), F.lit(1 << 20)) < share * (1 << 20)).dropDuplicates(["url"]).limit(2 * SAMPLE).collect()
+def with_suffixes(urls: DataFrame) -> DataFrame:
+    """urls, rows (url, host, path, ruled), with rate and count of each host's suffix over all that a rule decides."""
+    s = F.substring_index("host", ".", -1)
+    block = (F.col("ruled.verdict") == "block").cast("int")
+    seen = urls.where("ruled is not null").groupBy(s.alias("suffix")).agg(((F.sum(block) + 1) / (F.count("*") + 2)).alias("rate"), F.log1p(F.count("*")).alias("count"))
+    joined = urls.withColumn("suffix", s).join(seen, "suffix", "left").drop("suffix")
+    return joined.withColumns({"rate": F.coalesce("rate", F.lit(0.5)), "count": F.coalesce("count", F.lit(0.0))})
+
+
+def train(urls: DataFrame) -> Trees:
+    """Trees from rows (url, host, path, ruled, rate, count) that a rule decides; label 1 is block."""
+    own = urls.where("ruled is not null").select("url", "host", "path", "rate", "count", (F.col("ruled.verdict") == "block").cast("int").alias("y"), F.xxhash64("url").alias("hash"))
+    share = min(1.0, SAMPLE / max(1, own.count()))
+    # a url that a third of all rows hold counts once; the order makes the picked rows the same ones each time
+    rows = sampled(own, "hash", share).dropDuplicates(["url"]).orderBy("hash").limit(2 * SAMPLE).collect()
     rows.sort(key=lambda r: r["url"])
-    x = np.array([features(r["url"], r["host"], r["path"], rates) for r in rows], float).reshape(len(rows), len(FEATURES))
+    x = np.array([features(r["url"], r["host"], r["path"], r["rate"], r["count"]) for r in rows], float).reshape(len(rows), len(FEATURES))
     # a suffix's rate tells most of a rule; noise on it keeps the other features in use
     x[:, FEATURES.index("suffix block rate")] = np.where(np.arange(len(x)) % 3 == 0, 0.5, x[:, FEATURES.index("suffix block rate")])
-    return Trees().fit(x, np.array([r["y"] for r in rows], float)), rates
+    return Trees().fit(x, np.array([r["y"] for r in rows], float))
 
 
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """Per row: id, host, path, rule (null where none fits), verdict, block_score.
 
-    A null url, or one without ://, has an empty host and path and is judged by the trees. Repeated
-    rows each get a row; an empty table gives none. Where no rule decides any url the trees have
-    nothing to learn from and allow all.
+    A null url, or one without ://, has an empty host and path and is judged by the trees. Whole urls count, however
+    long. Repeated rows each get a row; an empty table gives none. Other columns of pages, whatever their names, take
+    no part. Where no rule decides any url the trees have nothing to learn from and allow all.
     """
-    spark = prepare(pages.sparkSession, 4096)
+    spark = prepare(pages.sparkSession)
     host, path = parts(url_col)
     given = pages.select(F.col(id_col).alias("id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), host.alias("host"), path.alias("path"))
-    given = given.withColumn("ruled", ruled(F.col("host"), F.col("path")))
-    trees, rates = train(given)
-    model = spark.sparkContext.broadcast((trees, rates))
+    given = with_suffixes(given.withColumn("ruled", ruled(F.col("host"), F.col("path"))))
+    model = spark.sparkContext.broadcast(train(given))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, held = model.value
         for batch in batches:
-            x = np.array([features(*row, held) for row in zip(*(batch[c].to_pylist() for c in ("url", "host", "path")))], float).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("id", "host", "path", "rule", "verdict")), pa.array(own.probability(x))], ["id", "host", "path", "rule", "verdict", "block_score"])
+            x = np.array([features(*row) for row in zip(*(batch[c].to_pylist() for c in ("url", "host", "path", "rate", "count")))], float).reshape(-1, len(FEATURES))
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("id", "host", "path", "rule", "verdict")), pa.array(model.value.probability(x))], ["id", "host", "path", "rule", "verdict", "block_score"])
 
     kind = given.schema["id"].dataType.simpleString()
-    flat = given.select("id", "url", "host", "path", F.col("ruled.rule").alias("rule"), F.col("ruled.verdict").alias("verdict"))
+    flat = given.select("id", "url", "host", "path", "rate", "count", F.col("ruled.rule").alias("rule"), F.col("ruled.verdict").alias("verdict"))
     out = flat.mapInArrow(run, f"id {kind}, host string, path string, rule string, verdict string, block_score double")
     own = F.when(F.col("block_score") > 0.5, "block").otherwise("allow")
     return out.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("verdict", own).alias("verdict"), "block_score")
