@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from canopy.llm._util import as_bytes, crc_mod, prepare
+from canopy.llm._util import as_bytes, crc_mod, prepare, sampled
 
 BUCKETS = 1 << 14
 RANK = 8
@@ -132,23 +132,25 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: i
 def train(docs: DataFrame, labels: DataFrame, is_train: Column, sample: int = 4000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Machine:
     """A machine from rows of docs that labels marks and is_train (over the column id) selects.
 
-    sample: about so many labelled ids are used. Ids that labels marks twice count by the larger mark.
+    sample: about so many labelled ids are used. Ids that labels marks twice count by the larger mark; of rows of
+    docs that repeat an id one is used (of the least hash of its text).
     """
     spark = prepare(docs.sparkSession)
     own = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).where(is_train & F.col("label").isNotNull())
     n = own.count()
-    picked = own.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 20)) < min(1.0, sample / max(1, n)) * (1 << 20)).groupBy("id").agg(F.max("label").alias("label"))
+    picked = sampled(own.withColumn("hash", F.xxhash64("id", F.lit(3))), "hash", min(1.0, sample / max(1, n))).groupBy("id").agg(F.max("label").alias("label"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held = [features(x) for x in as_bytes(batch["text"])]
-            yield pa.RecordBatch.from_arrays([batch["id"], batch["label"], pa.array([x for x, _ in held], pa.list_(pa.int64())), pa.array([y for _, y in held], pa.list_(pa.float64()))], ["id", "label", "at", "value"])
+            yield pa.RecordBatch.from_arrays([batch["id"], batch["label"], pa.array([x.astype(np.int32) for x, _ in held], pa.list_(pa.int32())), pa.array([y.astype(np.float32) for _, y in held], pa.list_(pa.float32()))], ["id", "label", "at", "value"])
 
     given = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    joined = given.join(F.broadcast(picked), "id").select("id", F.col("label").cast("int").alias("label"), "text")  # picked is about `sample` rows
+    joined = given.join(F.broadcast(picked), "id").select("id", F.col("label").cast("int").alias("label"), "text")  # picked has about `sample` rows, whatever the size of labels
+    joined = joined.groupBy("id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     kind = joined.schema["id"].dataType.simpleString()
-    table = joined.mapInArrow(run, f"id {kind}, label int, at array<bigint>, value array<double>").toArrow().sort_by("id")
-    rows = [(np.array(x, np.int64), np.array(y)) for x, y in zip(table["at"].to_pylist(), table["value"].to_pylist())]
+    table = joined.mapInArrow(run, f"id {kind}, label int, at array<int>, value array<float>").toArrow().sort_by("id")
+    rows = [(x.values.to_numpy().astype(np.int64), y.values.to_numpy().astype(float)) for x, y in zip(table["at"], table["value"])]
     return fit(rows, (table["label"].to_numpy() > 0).astype(float) if len(rows) else np.zeros(0))
 
 
@@ -168,8 +170,9 @@ def score_column(docs: DataFrame, machine: Machine, text_col: str = "text") -> D
 
 def predict(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, held_out, score, predicted. Labels of ids with crc32(id) mod 4 = 2 are held out; a row without
-    an id counts as not held out. Repeated rows each get a row; an empty table gives none; without labels of
-    both kinds every score is the same (their mean, or 0.5)."""
+    an id counts as not held out. A null text counts as empty; whole texts count, however long. Repeated rows each
+    get a row; an empty table gives none; without labels of both kinds every score is the same (their mean, or 0.5).
+    Other columns, whatever their names, take no part."""
     machine = train(docs, labels, crc_mod("id", 4) != 2, id_col=id_col, text_col=text_col)
     seen = score_column(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), machine)
     held = F.coalesce(crc_mod("id", 4) == 2, F.lit(False))
