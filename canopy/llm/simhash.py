@@ -107,7 +107,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     component_id is the smallest id among the documents reachable over links (its own included); null if
     none of them has an id. Null text counts as empty; a text without words has fingerprint zero
-    and is linked like any other. Repeated rows each get a row. An empty table gives none.
+    and is linked like any other. Whole texts count, however long. Repeated rows each get a row. An empty table gives
+    none. Other columns of docs, whatever their names, take no part. Tables are written to the shared folder when this
+    is called; the result reads them.
     """
     spark = prepare(docs.sparkSession)
     scratch = Scratch(spark, "simhash")
