@@ -37,6 +37,7 @@ ODD = [
     (12, "A shared line of text\nmine alone it is\n\na shared LINE of text \n short", "en"), (13, "x\na shared line of text", "en"),
     (14, "12 34 !? \x85\x1c\u00a0  ", "en"), (15, "\n\n\n", "en"), (16, "abcdefghij" * 3000, "en"), (17, "'s 'll I've we're x''s '", "en"),
     (18, prose(3, 90), "de"), (18, prose(3, 90), "de"), (None, "no id at all, this one", "en"), (None, prose(4, 50), None),
+    (19, "ab <|endoftext|> cd<|endoftext|><|endoftext|>", "en"), (20, "<|endoftext|>", None), (21, "<|endoftext <|endoftext|>|>\n", "fr"),
 ]
 
 
@@ -287,8 +288,23 @@ def test_line_index_is_reversible(spark, monkeypatch):
     assert see(fewer, rest) == plain(rest)
     again = fewer.insert(frame([x for x in rows if x[0] % 3 == 0]))
     assert see(again, rows) == plain(rows)
-    by_filter = {tuple(x) for x in again.losses().collect()}
-    assert by_filter == {tuple(x) for x in again.losses(bound=-1).collect()}  # without the filters
+    exact = again.postings.join(again.counts.where(line_dedup.SHARED).select("h1", "h2", "low"), ["h1", "h2"]).where("id > low")
+    assert {tuple(x) for x in again.losses().collect()} == {tuple(x) for x in exact.select("id", "t", "h1", "h2").collect()}  # without the filters
+
+
+def test_line_index_grows_and_splits_a_hot_shard(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 8)
+    rows = [(i, f"one line that all of them hold\nanother line of {i // 2} alone\nthis is line {i} alone") for i in range(120)]
+    rows += [(None, "one line that all of them hold\nthis line is without an id"), (None, "one line that all of them hold\nthis line is without an id")]
+    frame = lambda x: spark.createDataFrame(x, "doc_id bigint, text string")
+    index = line_dedup.LineIndex(spark, shards=2).insert(frame(rows[:20]))
+    first, index = index.shards, index.insert(frame(rows[20:]))
+    assert index.shards > first > 2
+    refs = {(q["h1"], q["h2"]): q["refs"] for q in index.counts.collect()}
+    assert max(refs.values()) == 122 > 2 * sum(refs.values()) / index.shards
+    got = sorted((q["doc_id"] is None, q["doc_id"] or 0, q["n_lines"], q["n_dropped"], q["text"]) for q in index.apply(frame(rows)).collect())
+    want = plain_lines(rows)
+    assert got == sorted((i is None, i or 0, *want[i, t]) for i, t in rows)
 
 
 def test_cuckoo_filter():
@@ -318,12 +334,30 @@ def test_forward_sums_all_segmentations():
                 out += prob[p, k] * total(word[n:], k)
         return out
 
-    words = ["a", "ab", "abab", "babaab", "axb", "", "ab" * 30]
+    words = ["a", "ab", "abab", "babaab", "axb", "", "ab" * 30, "ba" * 15 + "x" * 5, "aba" * 11, "abx" * 11, "x" * 33, "abbaab" * 1000]
     got = pieces.forward(words, prob)
+
+    def logs(word, k):  # from the front, in logarithms
+        at = [0.0] + [-math.inf] * len(word)
+        for i in range(len(word)):
+            for n in range(1, min(3, len(word) - i) + 1):
+                p = pieces.pieces.index(word[i : i + n]) if word[i : i + n] in pieces.pieces else (-1 if n == 1 else None)
+                if p is not None:
+                    at[i + n] = np.logaddexp(at[i + n], at[i] + math.log(prob[p, k]))
+        return at[-1]
+
     for w, row in zip(words, got):
-        parts = [w[i : i + langid.SLICE] for i in range(0, len(w), langid.SLICE)]
+        assert row == pytest.approx([logs(w, k) for k in range(2)], rel=1e-9)
         if len(w) <= 12:
-            assert row == pytest.approx([sum(math.log(total(x, k)) for x in parts) for k in range(2)])
+            assert row == pytest.approx([math.log(total(w, k)) for k in range(2)])
+    assert got[6] == pytest.approx([-22.389, -28.364], abs=1e-3)
+    for word in ("abxb", "ab" * 30):  # expected uses are the slopes of the logarithm of the sum
+        slopes = []
+        for i in range(6):
+            more = prob[:, :1].copy()
+            more[i] *= math.exp(1e-6)
+            slopes.append((pieces.forward([word], more)[0, 0] - pieces.forward([word], prob[:, :1])[0, 0]) / 1e-6)
+        assert pieces.expected([word], np.array([[1.0, 0.0]]), prob[:, 0])[:, 0] == pytest.approx(slopes, abs=1e-4)
     uses = pieces.expected(["ab"], np.array([[2.0, 0.0]]), prob[:, 0])
     whole = 0.3 + 0.1 * 0.2
     assert uses[2, 0] == pytest.approx(2 * 0.3 / whole) and uses[0, 0] == pytest.approx(2 * 0.02 / whole) and not uses[:, 1].any()
@@ -351,7 +385,7 @@ def test_language_held_out(spark):
 def plain_top(rows, k, scale=1024):
     good = []
     for i, v in rows:
-        if i is not None and v and all(x is not None and math.isfinite(x) for x in v):
+        if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
             good.append((i, [math.floor(scale * x) for x in v]))
     out = set()
     for i, q in set((i, tuple(v)) for i, v in good if i % 10 == 0):
@@ -369,7 +403,7 @@ def test_top_k(spark, monkeypatch, spread):
         c = i % 6
         rows.append((i, [float(x == c) + r.gauss(0, spread) for x in range(6)]))
     rows += [(1000 + i, [1.0, 0.0, 0.0, 0.0, 0.0, 0.0]) for i in range(40)]  # many equal vectors
-    rows += [(2000, None), (2001, []), (2010, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (2020, [float("nan")] * 6), (2030, [float("inf")] * 6), (None, [1.0] * 6)]
+    rows += [(2000, None), (2001, []), (2002, [0.5, -3.0]), (2010, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (2020, [float("nan")] * 6), (2030, [float("inf")] * 6), (None, [1.0] * 6)]
     df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id bigint, embedding array<double>, score int")
     got = {tuple(x) for x in topk.top_k(df, F.col("id") % 10 == 0, 10).collect()}
     assert got == plain_top(rows, 10)
@@ -379,6 +413,30 @@ def test_top_k(spark, monkeypatch, spread):
     assert topk.top_k(small.where("false"), F.col("id") % 10 == 0).count() == 0
 
 
+def test_top_k_of_huge_components(spark):
+    big = [1e9, 3e38, -3e38, 1e15, 7.0, -2e12, 0.5]
+    rows = [(i, [big[i % 7], big[(3 * i) % 7], float(i)]) for i in range(60)]
+    most = (1 << 63) - 1
+    clip = lambda x: max(-most - 1, min(most, x))
+    whole = {i: [clip(math.floor(1024 * x)) for x in v] for i, v in rows}
+    want = set()
+    for i in range(0, 60, 10):
+        found = sorted((-clip(sum(a * b for a, b in zip(whole[i], v))), j) for j, v in whole.items() if j != i)[:10]
+        want |= {(i, n + 1, j, -s) for n, (s, j) in enumerate(found)}
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    assert {tuple(x) for x in topk.top_k(df, F.col("id") % 10 == 0, 10).collect()} == want
+
+
+def test_annuli_of_several_rows(spark, monkeypatch):
+    monkeypatch.setattr(topk, "ANNULUS", 64)
+    monkeypatch.setattr(topk, "CHUNK", 10)
+    monkeypatch.setattr(topk, "BOUNDS", 16)
+    r = random.Random(9)
+    rows = [(i, [r.gauss(0, 1) for _ in range(4)]) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    assert {tuple(x) for x in topk.top_k(df, F.col("id") % 10 == 0, 10).collect()} == plain_top(rows, 10)
+
+
 def test_scores_are_exact_where_floats_are_not():
     a, b = np.array([[2**31 + 1, 3]]), np.array([[2**30 + 1, 5]])
     assert topk.scores(a, b)[0, 0] == (2**31 + 1) * (2**30 + 1) + 15
@@ -420,6 +478,41 @@ def test_urls(spark):
     assert urls.judge(df.where("url = 'no scheme'")).first()["verdict"] in ("allow", "block")
 
 
+def test_verdicts_are_the_trees_where_no_rule_fits(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    host, path = urls.parts("url")
+    given = df.select(F.coalesce("url", F.lit("")).alias("url"), host.alias("host"), path.alias("path"))
+    given = urls.with_suffixes(given.withColumn("ruled", urls.ruled(F.col("host"), F.col("path"))))
+    model = urls.train(given)
+
+    def plain(row):
+        x, z = urls.features(*(row[c] for c in ("url", "host", "path", "rate", "count"))), model.base
+        for tree in model.trees:
+            at = 0
+            while tree[at][0] >= 0:
+                feature, edge, _ = tree[at]
+                at = 2 * at + 1 + int(sum(x[feature] > e for e in model.edges[feature]) > edge)
+            z += model.rate * tree[at][2]
+        return "block" if z > 0 else "allow"
+
+    want = collections.Counter((r["url"], (r["ruled"] or {"verdict": plain(r)})["verdict"]) for r in given.collect())
+    assert want == collections.Counter((r["url"], r["verdict"]) for r in urls.judge(df).join(df.select("page_id", F.coalesce("url", F.lit("")).alias("url")), "page_id").collect())
+
+
+def test_trees_on_urls_held_out(spark):
+    """The only labels are the rules' verdicts, which hang on paths that lexical features see in part."""
+    df = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("url").distinct()
+    host, path = urls.parts("url")
+    given = df.select("url", host.alias("host"), path.alias("path")).withColumn("all", urls.ruled(F.col("host"), F.col("path")))
+    part = F.crc32(F.col("url").cast("binary")) % 4 == 2
+    given = urls.with_suffixes(given.withColumn("ruled", F.when(~part, F.col("all"))))
+    trees, rest = urls.train(given), given.where(part & F.col("all").isNotNull()).collect()
+    x = np.array([urls.features(*(r[c] for c in ("url", "host", "path", "rate", "count"))) for r in rest])
+    y = np.array([r["all"]["verdict"] == "block" for r in rest])
+    right = np.mean((trees.probability(x) > 0.5) == y)
+    assert len(rest) > 200 and right > 0.7 and right > max(y.mean(), 1 - y.mean()) + 0.1  # 0.79 against 0.58
+
+
 def test_trees_learn_an_interaction():
     rng = np.random.default_rng(0)
     x = rng.random((2000, 3))
@@ -444,7 +537,7 @@ def test_language_model(spark, docs, none, monkeypatch, frequent):
         if i is not None and zlib.crc32(str(i).encode()) % 7 != 2:
             counts.update(plain_tokens(t))
     n, v = sum(counts.values()), len(counts)
-    want = sorted((len(plain_tokens(t)), sum(counts[w] > 0 for w in plain_tokens(t)), round(sum(math.log10((counts[w] + 1) / ((n + 1) * (v + 1))) for w in plain_tokens(t)), 6)) for _, t, _ in ODD)
+    want = sorted((len(plain_tokens(t)), sum(counts[w] > 0 for w in plain_tokens(t)), round(sum(math.log10((counts[w] + 1) / (n + 1 * (v + 1))) for w in plain_tokens(t)), 6)) for _, t, _ in ODD)
     rows = lm.predict(docs).collect()
     got = sorted((r["n_tokens"], r["n_known"], round(r["base_score"], 6)) for r in rows)
     assert [g[:2] for g in got] == [w[:2] for w in want]
@@ -453,17 +546,52 @@ def test_language_model(spark, docs, none, monkeypatch, frequent):
     assert lm.predict(none).count() == 0
 
 
+def test_scores_are_the_softmax_over_all_words(spark, docs, monkeypatch):
+    """Each token's probability from the parameters, summed over every word that the model knows, one by one."""
+    monkeypatch.setattr(lm, "KNOWN", 12)
+    scratch = Scratch(spark, "t")
+    model, counts = lm.train(docs, F.expr("id > 6"), scratch)
+    seen = {bytes(r["word"]): r["n"] for r in counts.collect()}
+    index, net, size = {w: i for i, w in enumerate(model.words.split(b"\n")) if i < model.known}, model.net, model.net.size
+    assert size == 13 and sum(seen.values()) == model.total and len(seen) == model.distinct
+
+    def plain(text):
+        ids = [index[b""], index[b""], *(index.get(w, size - 1) for w in plain_tokens(text))]
+        out = 0.0
+        for word, v, u, w in zip(plain_tokens(text), ids, ids[1:], ids[2:]):
+            r = net.target[u].astype(float) @ net.near + net.target[v].astype(float) @ net.far
+            given = np.exp(net.target.astype(float) @ r + net.bias)
+            out += math.log10(given[w] / given.sum()) + (math.log10((seen.get(word, 0) + 1) / model.rest) if w == size - 1 else 0)
+        return out
+
+    assert model.rest == 1 + sum(n + 1 for w, n in seen.items() if w not in index)
+    got = sorted((r["n_tokens"], r["score"]) for r in lm.score(docs, model, counts, scratch).collect())
+    want = sorted((len(plain_tokens(t)), plain(t)) for _, t, _ in ODD)
+    assert [g[1] for g in got] == pytest.approx([w[1] for w in want], rel=1e-4, abs=1e-4)
+
+
+def test_every_training_token_takes_part(spark):
+    """What only one late row of many holds moves the parameters."""
+    rows = [(i, "a b c d e f g h " * 20) for i in range(60)]
+    odd = [*rows[:-1], (59, "h g f e d c b a " * 20)]
+    nets = [lm.train(spark.createDataFrame(x, "doc_id bigint, text string").coalesce(1), F.lit(True), Scratch(spark, "t"))[0].net for x in (rows, odd)]
+    one = [n.tables()[0] for n in nets]
+    assert not np.allclose(nets[0].flat(), nets[1].flat()) and one[0].shape == one[1].shape
+
+
 def test_model_is_normalised_and_learns():
     rng = np.random.default_rng(1)
     seq = np.cumsum(rng.integers(1, 3, 6000)) % 7  # the next word is one or two further
     triples = np.stack([seq[:-2], seq[1:-1], seq[2:]], axis=1)
     net = lm.LogBilinear(8)
-    net.train(triples, np.bincount(seq, minlength=8) + 0.5, epochs=20)
+    triples, times = np.unique(triples, axis=0, return_counts=True)
+    for _ in range(300):
+        net.train(triples, times, np.bincount(seq, minlength=8) + 0.5)
     one, two, z = net.tables()
     p = 10 ** (one[None, :, :] + two[:, None, :] - z[:, :, None])
     assert p.sum(axis=2) == pytest.approx(np.ones((8, 8)), abs=1e-3)
     given = p[triples[:, 0], triples[:, 1], triples[:, 2]]
-    assert -np.log(given).mean() < 1.2 < np.log(7)
+    assert -(np.log(given) * times).sum() / times.sum() < 1.2 < np.log(7)
 
 
 def test_nothing_learned_still_scores(docs):
@@ -503,7 +631,6 @@ def test_packing(docs, none):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(JSON)
-    t.encode_special_tokens = True
     ids = collections.defaultdict(list)
     for i, text, _ in ODD:
         ids[i].append(t.encode(text or "", add_special_tokens=False).ids + [2])
