@@ -190,9 +190,9 @@ def triplet_xvideo(v: Views) -> DataFrame:
     return _loss(vectors.triplets(_batch(v), 0.5, cross_video="individual_video_id"))
 
 
-@query("select a.id, round(greatest(0, list_distance(a.v, p.v) - list_distance(a.v, n.v) + 1), 6) as loss from vec a join vec p on p.id = a.id + 100 join vec n on n.id = a.id + 200 where a.id < 100")
+@query("select a.id, round(greatest(0, list_distance(a.v, p.v) - list_distance(a.v, n.v) + 1), 6) as loss from vec a join vec p on p.id = a.id + 100 join vec n on n.id = a.id + 200")
 def triplet_offline(v: Views) -> DataFrame:
-    a = _rows(v).where("id < 100").select("id", "v")
+    a = _rows(v).select("id", "v")
     p, n = (_rows(v).select((F.col("id") - k).alias("id"), F.col("v").alias(c)) for k, c in ((100, "p"), (200, "n")))
     d = lambda c: F.sqrt(vectors.squared_l2(F.col("v"), F.col(c)))
     return a.join(p, "id").join(n, "id").select("id", F.round(F.greatest(F.lit(0.0), d("p") - d("n") + 1), 6).alias("loss"))
@@ -221,10 +221,10 @@ def label_encode(v: Views) -> DataFrame:
     return v.emb.select("vec_id", "label").join(F.broadcast(codes), "label").select("vec_id", "code")
 
 
-@query("select vec_id, unnest(range(0, 10)) as pos, cast(unnest(range(0, 10)) = label as int) as hot from emb where vec_id < 50")
+@query("select vec_id, unnest(range(0, 10)) as pos, cast(unnest(range(0, 10)) = label as int) as hot from emb")
 def one_hot(v: Views) -> DataFrame:
     hot = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: (i == F.col("label")).cast("int"))
-    return v.emb.where("vec_id < 50").select("vec_id", F.posexplode(hot).alias("pos", "hot")).withColumn("pos", F.col("pos").cast("bigint"))
+    return v.emb.select("vec_id", F.posexplode(hot).alias("pos", "hot")).withColumn("pos", F.col("pos").cast("bigint"))
 
 
 @query("select vec_id, r // 32 as batch from (select vec_id, row_number() over (order by vec_id) - 1 as r, count(*) over () as n from emb) where r // 32 < n // 32")
@@ -233,9 +233,9 @@ def batching(v: Views) -> DataFrame:
     return nlets.batches(ranked, F.col("rank") - 1, 32, True, v.emb.count()).select("vec_id", "batch")
 
 
-@query("select vec_id, 'a' as role, 0 as pos from emb where vec_id < 20 union all select (vec_id + 1) % 20, 'p', 1 from emb where vec_id < 20")
+@query("select vec_id, 'a' as role, 0 as pos from emb union all select vec_id + 1, 'p', 1 from emb")
 def flatten_batch(v: Views) -> DataFrame:
-    one = v.emb.where("vec_id < 20").select(F.array(F.struct(F.col("vec_id").alias("i"), F.lit("a").alias("role")), F.struct(((F.col("vec_id") + 1) % 20).alias("i"), F.lit("p").alias("role"))).alias("x"))
+    one = v.emb.select(F.array(F.struct(F.col("vec_id").alias("i"), F.lit("a").alias("role")), F.struct((F.col("vec_id") + 1).alias("i"), F.lit("p").alias("role"))).alias("x"))
     return one.select(F.posexplode("x").alias("pos", "s")).select(F.col("s.i").alias("vec_id"), F.col("s.role").alias("role"), "pos")
 
 

@@ -404,9 +404,9 @@ def j_images_videos(v: Views) -> DataFrame:
     return own.groupBy("id").agg(F.count("*").alias("images"), F.count_distinct("day").alias("days")).join(own.groupBy("id").agg(F.count_distinct("cam").alias("cameras")), "id")
 
 
-@query("with a as (select month(start_time) as m, count(*) as videos from video where start_time is not null and camera_id < 2 group by 1), b as (select cast(substring(split_part(file_name, '_', 3), 5, 2) as int) as m, count(*) as images from image group by 1) select cast(coalesce(a.m, b.m) as int) as m, coalesce(videos, 0) as videos, coalesce(images, 0) as images from a full join b on a.m = b.m")
+@query("with a as (select month(start_time) as m, count(*) as videos from video where start_time is not null group by 1), b as (select cast(substring(split_part(file_name, '_', 3), 5, 2) as int) as m, count(*) as images from image group by 1) select cast(coalesce(a.m, b.m) as int) as m, coalesce(videos, 0) as videos, coalesce(images, 0) as images from a full join b on a.m = b.m")
 def j_full_outer(v: Views) -> DataFrame:
-    a = v.video.where("start_time is not null and camera_id < 2").groupBy(F.month("start_time").alias("m")).agg(F.count("*").alias("videos"))
+    a = v.video.where("start_time is not null").groupBy(F.month("start_time").alias("m")).agg(F.count("*").alias("videos"))
     b = v.image.groupBy(F.substring(names.part(F.col("file_name"), 3), 5, 2).cast("int").alias("m")).agg(F.count("*").alias("images"))
     return a.join(b, "m", "full_outer").na.fill(0, ["videos", "images"])
 
@@ -448,7 +448,7 @@ def tasks_eligible(v: Views) -> DataFrame:
     return tasks.eligible(v.task, "predict", F.lit("1998-01-01 00:00:00").cast("timestamp_ntz"), 1, 2).select("task_id")
 
 
-@query("select task_id, case when task_type = 'correlate' and video_id in (select video_id from task where task_type = 'predict' and retries > 0) then 'pending' else status end as status from task")
+@query("with r as (select distinct video_id as retried from task where task_type = 'predict' and retries > 0) select task_id, case when task_type = 'correlate' and retried is not null then 'pending' else status end as status from task left join r on video_id = retried")
 def tasks_reset(v: Views) -> DataFrame:
     return tasks.reset_dependents(v.task, "predict", "correlate").select("task_id", "status")
 
@@ -482,9 +482,9 @@ def merge_splits(v: Views) -> DataFrame:
     return merged(one.where("vec_id % 2 = 0"), one.where("vec_id % 2 = 1"), "name")[0].select("name", "partition")
 
 
-@query("select vec_id as id, 0 as dsid from emb union all select event_id, 1 from events where event_id < 100")
+@query("select vec_id as id, 0 as dsid from emb union all select event_id, 1 from events")
 def union_dsid(v: Views) -> DataFrame:
-    return v.emb.select(F.col("vec_id").alias("id"), F.lit(0).alias("dsid")).unionAll(v.table("events").where("event_id < 100").select("event_id", F.lit(1)))
+    return v.emb.select(F.col("vec_id").alias("id"), F.lit(0).alias("dsid")).unionAll(v.table("events").select("event_id", F.lit(1)))
 
 
 @query("select name from camera except select name from camera where camera_id % 3 = 0")

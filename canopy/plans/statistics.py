@@ -133,12 +133,17 @@ def bristol_stats(v: Views) -> DataFrame:
     return v.tff.groupBy("video_id").agg(F.count("*").alias("images")).groupBy("images").agg(F.count("*").alias("videos"))
 
 
-@query("with c as (select camera_id, cast(floor(date_diff('day', date '1970-01-01', cast(start_time as date))/14) as bigint) as slice, count(*) as n from video where start_time is not null and camera_id < 4 group by 1, 2), s as (select distinct slice from c) select s.slice, cast(coalesce(sum(n) filter (where camera_id <= 0), 0) as bigint) as c0, cast(coalesce(sum(n) filter (where camera_id <= 1), 0) as bigint) as c1, cast(coalesce(sum(n) filter (where camera_id <= 2), 0) as bigint) as c2, cast(coalesce(sum(n) filter (where camera_id <= 3), 0) as bigint) as c3 from s left join c on s.slice = c.slice group by 1")
+#: Cameras, which are the nations.
+_CAMERAS = range(25)
+_UPTO = ", ".join(f"cast(coalesce(sum(n) filter (where camera_id <= {i}), 0) as bigint) as c{i}" for i in _CAMERAS)
+
+
+@query(f"with c as (select camera_id, cast(floor(date_diff('day', date '1970-01-01', cast(start_time as date))/14) as bigint) as slice, count(*) as n from video where start_time is not null group by 1, 2) select slice, {_UPTO} from c group by 1")
 def resample_pivot(v: Views) -> DataFrame:
     slice_ = F.floor(F.date_diff(F.to_date("start_time"), F.lit("1970-01-01").cast("date")) / 14).alias("slice")
-    wide = v.video.where("start_time is not null and camera_id < 4").groupBy(slice_).pivot("camera_id", [0, 1, 2, 3]).count().na.fill(0)
+    wide = v.video.where("start_time is not null").groupBy(slice_).pivot("camera_id", list(_CAMERAS)).count().na.fill(0)
     upto = lambda i: sum((F.col(str(j)) for j in range(1, i + 1)), F.col("0"))
-    return wide.select("slice", *(upto(i).alias(f"c{i}") for i in range(4)))
+    return wide.select("slice", *(upto(i).alias(f"c{i}") for i in _CAMERAS))
 
 
 @query("select camera_id, cast(start_time as date) as day, min(start_time) as first, max(start_time) as last, date_diff('minute', min(start_time), max(start_time)) as span from video where start_time is not null group by 1, 2")
@@ -211,9 +216,9 @@ def o_random(v: Views) -> DataFrame:
     return v.video.orderBy(*filters.in_order(5)).limit(20).select("video_id")
 
 
-@query("select video_id, start_time from video where start_time is null or start_time < timestamp '1992-03-01' order by start_time nulls last, video_id")
+@query("select video_id, start_time from video order by start_time nulls last, video_id")
 def o_time(v: Views) -> DataFrame:
-    return v.video.where("start_time is null or start_time < timestamp_ntz'1992-03-01'").select("video_id", "start_time").orderBy(F.asc_nulls_last("start_time"), "video_id")
+    return v.video.select("video_id", "start_time").orderBy(F.asc_nulls_last("start_time"), "video_id")
 
 
 @query("select video_id from video where camera_id = 3 order by video_id limit 15")

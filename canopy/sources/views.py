@@ -25,7 +25,7 @@ VIDEO_FEATURE = """select o_orderkey video_id, 'social_group' feature_type, c_mk
  from {orders} join {customer} on o_custkey=c_custkey where o_orderkey%11<>0"""
 TFF = """select tracking_frame_feature_id, video_id, tracking_id, frame_nr, bbox_x_center_n, bbox_y_center_n, bbox_width_n, bbox_height_n,
   cast(floor(bbox_width_n*1920) as int) bbox_width, cast(floor(bbox_height_n*1080) as int) bbox_height, confidence, feature_type, cached
- from (select *, row_number() over (partition by tracking_id,frame_nr,feature_type order by tracking_frame_feature_id) rn
+ from (select *, row_number() over (partition by video_id,tracking_id,frame_nr,feature_type order by tracking_frame_feature_id) rn
   from (select event_id tracking_frame_feature_id, user_id video_id,
    case when event_id%13=0 then null else user_id*1000+blk*10+event_id%3 end tracking_id, frame_nr,
    case when event_type in ('click','view') then 'body' when event_type in ('signup','purchase') then 'face_90' else 'face_45' end feature_type,
