@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from canopy.sources.scratch import Scratch
@@ -86,6 +86,25 @@ def layered_cuts(own: DataFrame, cuts: DataFrame, parents: DataFrame, parent_roo
     return root_cuts(own, cuts).union(inherited).distinct()
 
 
+def layered_degrees(own: DataFrame, cuts: DataFrame, groups: DataFrame) -> DataFrame:
+    """(root, neighbours): of each root, how many it is cut from, where besides cuts all roots of different groups are
+    apart, as children of parents of different groups are. Those pairs are counted, never made.
+
+    own: (vertex, root); cuts: (a, b) between vertices; groups: (root, g), one row for each root that has a group.
+    """
+    sizes = groups.groupBy("g").agg(F.count("*").alias("m"))
+    others = sizes.select("g", (F.sum("m").over(Window.partitionBy()) - F.col("m")).alias("others"))  # a row for each group
+    far = groups.join(others, "g").select("root", F.col("others").alias("n"))
+    near = within_groups(root_cuts(own, cuts), groups).groupBy(F.col("a").alias("root")).agg(F.count("*").alias("n"))
+    return far.union(near).groupBy("root").agg(F.sum("n").alias("neighbours")).where("neighbours > 0")
+
+
+def within_groups(cuts: DataFrame, groups: DataFrame) -> DataFrame:
+    """Cuts (a, b) between roots that do not lie in two different groups."""
+    left, right = groups.select(F.col("root").alias("a"), F.col("g").alias("ga")), groups.select(F.col("root").alias("b"), F.col("g").alias("gb"))
+    return cuts.join(left, "a", "left").join(right, "b", "left").where("not coalesce(ga <> gb, false)").select("a", "b")
+
+
 def merge_siblings(parents: DataFrame) -> DataFrame:
     """(vertex, root): vertices of one parent form a clique; no components needed."""
     return parents.join(parents.groupBy("parent").agg(F.min("vertex").alias("root")), "parent").select("vertex", "root")

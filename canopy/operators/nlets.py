@@ -10,6 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from canopy.functions.names import hashed
+from canopy.operators.graph import within_groups
+
+#: Ranges of the hash that the members of one group are numbered in, so that a large group is not one task.
+RANGES = 1024
 
 
 def _numbered(rows: DataFrame, group: str, seed: int) -> DataFrame:
@@ -94,17 +98,53 @@ def clique_negatives(own: DataFrame, cuts: DataFrame, seed: int = 0) -> DataFram
 
     Each adjacent clique owns a range of the anchor's draws, as long as it has members.
     """
-    w = Window.partitionBy("root").orderBy(hashed(F.col("vertex"), seed), "vertex")
-    members = own.select("root", "vertex", (F.row_number().over(w) - 1).alias("__i"))
-    sizes = own.groupBy("root").agg(F.count("*").alias("m"))
-    upto = Window.partitionBy("a").orderBy("b")
-    ranges = cuts.join(sizes.withColumnRenamed("root", "b"), "b").withColumn("high", F.sum("m").over(upto)).withColumn("low", F.col("high") - F.col("m")).withColumn("total", F.sum("m").over(Window.partitionBy("a")))
+    ranges = _ranges(own, cuts)
     totals = ranges.select("a", "total").distinct()
     asked = own.join(totals, own["root"] == totals["a"]).select("vertex", "a", (hashed(F.col("vertex"), seed + 1) % F.col("total")).alias("draw"))
+    return _hit(asked, own, ranges, seed)
+
+
+def _ranges(own: DataFrame, cuts: DataFrame) -> DataFrame:
+    """(a, b, low, high, total): the range of draws of a that falls to the adjacent root b, and how many draws a has."""
+    sizes = own.groupBy("root").agg(F.count("*").alias("m"))
+    upto = Window.partitionBy("a").orderBy("b")
+    return cuts.join(sizes.withColumnRenamed("root", "b"), "b").withColumn("high", F.sum("m").over(upto)).withColumn("low", F.col("high") - F.col("m")).withColumn("total", F.sum("m").over(Window.partitionBy("a")))
+
+
+def _hit(asked: DataFrame, own: DataFrame, ranges: DataFrame, seed: int) -> DataFrame:
+    """(id, negative) of asked (vertex, a, draw): the member that the draw falls to."""
+    w = Window.partitionBy("root").orderBy(hashed(F.col("vertex"), seed), "vertex")
+    members = own.select("root", "vertex", (F.row_number().over(w) - 1).alias("__i"))
     hit = asked.join(ranges.select("a", "b", "low", "high"), "a").where("draw >= low and draw < high").select("vertex", F.col("b").alias("root"), (F.col("draw") - F.col("low")).alias("__i"))
     return hit.join(members.withColumnRenamed("vertex", "negative"), ["root", "__i"]).select(F.col("vertex").alias("id"), "negative")
 
 
+def layered_negatives(own: DataFrame, cuts: DataFrame, groups: DataFrame, seed: int = 0) -> DataFrame:
+    """(id, negative): as clique_negatives, where besides cuts all roots of different groups are cut apart, as children of
+    parents of different groups are. groups: (root, g), one row for each root that has a group.
+
+    Members are numbered group after group, so a draw from all other groups is a number outside the anchor's own
+    range, and one equality join: the pairs of roots are never made.
+    """
+    part = F.floor(hashed(F.col("vertex"), seed) * RANGES / (1 << 32)).alias("__k")
+    placed = own.join(groups, "root").select("root", "vertex", "g", part)
+    parts = placed.groupBy("g", "__k").agg(F.count("*").alias("m"))
+    before = Window.orderBy("g", "__k").rowsBetween(Window.unboundedPreceding, -1)  # at most RANGES rows for each group
+    parts = parts.withColumn("low", F.coalesce(F.sum("m").over(before), F.lit(0))).withColumn("every", F.sum("m").over(Window.partitionBy()))
+    within = Window.partitionBy("g", "__k").orderBy(hashed(F.col("vertex"), seed), "vertex")
+    members = placed.join(parts, ["g", "__k"]).select(F.col("vertex").alias("negative"), (F.col("low") + F.row_number().over(within) - 1).alias("place"))
+    span = parts.groupBy("g").agg(F.min("low").alias("start"), F.sum("m").alias("m"), F.max("every").alias("every"))
+    far = groups.join(span, "g").select("root", "start", "m", (F.col("every") - F.col("m")).alias("far"))
+    ranges = _ranges(own, within_groups(cuts, groups))
+    near = ranges.select(F.col("a").alias("root"), F.col("total").alias("near")).distinct()
+    asked = own.join(far, "root", "left").join(near, "root", "left").na.fill(0, ["far", "near"]).where("far + near > 0")
+    asked = asked.withColumn("draw", hashed(F.col("vertex"), seed + 1) % (F.col("far") + F.col("near")))
+    place = F.when(F.col("draw") < F.col("start"), F.col("draw")).otherwise(F.col("draw") + F.col("m")).alias("place")
+    outer = asked.where("draw < far").select(F.col("vertex").alias("id"), place).join(members, "place").select("id", "negative")
+    inner = asked.where("draw >= far").select("vertex", F.col("root").alias("a"), (F.col("draw") - F.col("far")).alias("draw"))
+    return outer.union(_hit(inner, own, ranges, seed))
+
+
 def first_of(rows: DataFrame, group: str, order: str) -> DataFrame:
     """One row id of each group, the first in an order."""
     return rows.groupBy(group).agg(F.min_by("id", order).alias("id"))

@@ -114,21 +114,23 @@ def classify_by_prototype(rows: DataFrame, label: str = "label", scale: float =
     return scored.select("id", label, (-top["o"]).alias("predicted"), (1 / total).alias("probability"))
 
 
-def triplets(rows: DataFrame, margin: float, kind: str = "soft", cross_video: str | None = None) -> DataFrame:
-    """(a, p, n, d_ap, d_an): valid triplets of rows (id, label, v).
+def triplets(rows: DataFrame, margin: float, kind: str = "soft", cross_video: str | None = None, batch: int = 1 << 62) -> DataFrame:
+    """(a, p, n, d_ap, d_an): valid triplets of rows (id, label, v), within batches of so many consecutive ids.
 
     soft: all; semi: 0 < d_an - d_ap < margin; hard: each anchor's farthest positive and nearest
     negative. cross_video names a column in which anchor and positive must differ. For soft and semi
-    the number of triplets is cubic by definition: they are meant for batches.
+    the triplets of a batch are cubic in its size by definition; over batches all is linear. The batch is
+    the equality key of both joins.
     """
+    rows = rows.withColumn("batch", F.floor(F.col("id") / batch))
     extra = [cross_video] if cross_video else []
-    side = lambda s: rows.select(*(F.col(c).alias(f"{s}_{c}") for c in ("id", "label", "v", *extra)))
+    side = lambda s: rows.select(*(F.col(c).alias(f"{s}_{c}") for c in ("id", "batch", "label", "v", *extra)))
     a, p, n = side("a"), side("p"), side("n")
-    positive = (F.col("a_label") == F.col("p_label")) & (F.col("a_id") != F.col("p_id"))
+    positive = (F.col("a_batch") == F.col("p_batch")) & (F.col("a_label") == F.col("p_label")) & (F.col("a_id") != F.col("p_id"))
     if cross_video:
         positive = positive & (F.col(f"a_{cross_video}") != F.col(f"p_{cross_video}"))
     ap = a.join(p, positive).select("a_id", "a_label", "a_v", "p_id", F.sqrt(squared_l2(F.col("a_v"), F.col("p_v"))).alias("d_ap"))
-    an = a.select(F.col("a_id").alias("x_id"), F.col("a_label").alias("x_label"), F.col("a_v").alias("x_v")).join(n, F.col("x_label") != F.col("n_label")).select("x_id", "n_id", F.sqrt(squared_l2(F.col("x_v"), F.col("n_v"))).alias("d_an"))
+    an = a.select(*(F.col(f"a_{c}").alias(f"x_{c}") for c in ("id", "batch", "label", "v"))).join(n, (F.col("x_batch") == F.col("n_batch")) & (F.col("x_label") != F.col("n_label"))).select("x_id", "n_id", F.sqrt(squared_l2(F.col("x_v"), F.col("n_v"))).alias("d_an"))
     if kind == "hard":
         ap = ap.groupBy("a_id").agg(F.max(F.struct("d_ap", -F.col("p_id"))).alias("m")).select("a_id", (-F.col("m.col2")).alias("p_id"), F.col("m.d_ap").alias("d_ap"))
         an = an.groupBy("x_id").agg(F.min(F.struct("d_an", "n_id")).alias("m")).select("x_id", "m.n_id", "m.d_an")

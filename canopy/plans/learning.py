@@ -152,12 +152,14 @@ def dedup_relative(v: Views) -> DataFrame:
 
 # --- triplets -----------------------------------------------------------------------------------------------------
 
-_TRIPLE = """t as (select a.id as a, p.id as p, n.id as n, a.individual_video_id as av, p.individual_video_id as pv, list_distance(a.v, p.v) as d_ap, list_distance(a.v, n.v) as d_an from vec a join vec p on a.label = p.label and a.id <> p.id join vec n on n.label <> a.label where a.id < 60 and p.id < 60 and n.id < 60)"""
+#: Ids in a batch of triplets. The loss is that of batches, and the batches cover the whole table.
+_BATCH = 50
+_TRIPLE = f"""t as (select a.id as a, p.id as p, n.id as n, a.individual_video_id as av, p.individual_video_id as pv, list_distance(a.v, p.v) as d_ap, list_distance(a.v, n.v) as d_an from vec a join vec p on a.id // {_BATCH} = p.id // {_BATCH} and a.label = p.label and a.id <> p.id join vec n on n.id // {_BATCH} = a.id // {_BATCH} and n.label <> a.label)"""
 _LOSS = "select count(*) as n, round(coalesce(sum(greatest(0, d_ap-d_an+0.5)), 0)/(count(*)+1e-16), 6) as loss, round(coalesce(sum(d_ap), 0)/(count(*)+1e-16), 6) as d_p, round(coalesce(sum(d_an), 0)/(count(*)+1e-16), 6) as d_n from"
 
 
-def _batch(v: Views) -> DataFrame:
-    return _rows(v).where("id < 60")
+def _triplets(v: Views, kind: str = "soft", cross_video: str | None = None) -> DataFrame:
+    return vectors.triplets(_rows(v), 0.5, kind, cross_video, _BATCH)
 
 
 def _loss(found: DataFrame) -> DataFrame:
@@ -165,29 +167,29 @@ def _loss(found: DataFrame) -> DataFrame:
     return out.select("n", *(F.round(c, 6).alias(c) for c in ("loss", "d_p", "d_n")))
 
 
-@query(f"with {_TRIPLE} select a, p, n from t where a < 10")
+@query(f"with {_TRIPLE} select a, p, n from t")
 def triplets(v: Views) -> DataFrame:
-    return vectors.triplets(_batch(v), 0.5).where("a < 10").select("a", "p", "n")
+    return _triplets(v).select("a", "p", "n")
 
 
 @query(f"with {_TRIPLE} {_LOSS} t")
 def triplet_soft(v: Views) -> DataFrame:
-    return _loss(vectors.triplets(_batch(v), 0.5))
+    return _loss(_triplets(v))
 
 
 @query(f"with {_TRIPLE} {_LOSS} t where d_an - d_ap > 0 and d_an - d_ap < 0.5")
 def triplet_semi(v: Views) -> DataFrame:
-    return _loss(vectors.triplets(_batch(v), 0.5, "semi"))
+    return _loss(_triplets(v, "semi"))
 
 
 @query(f"with {_TRIPLE}, h as (select a, max(d_ap) as d_ap, min(d_an) as d_an from t group by 1) {_LOSS} h")
 def triplet_hard(v: Views) -> DataFrame:
-    return _loss(vectors.triplets(_batch(v), 0.5, "hard"))
+    return _loss(_triplets(v, "hard"))
 
 
 @query(f"with {_TRIPLE} {_LOSS} t where av <> pv")
 def triplet_xvideo(v: Views) -> DataFrame:
-    return _loss(vectors.triplets(_batch(v), 0.5, cross_video="individual_video_id"))
+    return _loss(_triplets(v, cross_video="individual_video_id"))
 
 
 @query("select a.id, round(greatest(0, list_distance(a.v, p.v) - list_distance(a.v, n.v) + 1), 6) as loss from vec a join vec p on p.id = a.id + 100 join vec n on n.id = a.id + 200")
@@ -299,12 +301,14 @@ def nlet_species(v: Views) -> DataFrame:
 
 # --- graphs -----------------------------------------------------------------------------------------------------------
 
-_CC = """e as (select tracking_frame_feature_id as a, tracking_frame_feature_id + 1 + tracking_frame_feature_id % 3 as b from tff where tracking_frame_feature_id % 4 <> 0 and tracking_frame_feature_id < 3000),
-w as (select a, b from e union select b, a from e), r as (select a, b from w union select r.a, w.b from r join w on r.b = w.a), c as (select a as vertex, min(least(a, b)) as root from r group by 1)"""
+# Every edge leads to a larger id, at most one from each vertex, so a component is what ends at the same vertex.
+_CC = """e as (select tracking_frame_feature_id as a, tracking_frame_feature_id + 1 + tracking_frame_feature_id % 3 as b from tff where tracking_frame_feature_id % 4 <> 0),
+p as (select a as vertex, b as reach from e union all select p.vertex, e.b from p join e on e.a = p.reach), ends as (select vertex, max(reach) as top from p group by 1),
+c as (select vertex, min(vertex) over (partition by top) as root from (select vertex, top from ends union select top, top from ends))"""
 
 
 def _merges(v: Views) -> DataFrame:
-    return v.tff.where(f"{ID} % 4 <> 0 and {ID} < 3000").select(F.col(ID).alias("a"), (F.col(ID) + 1 + F.col(ID) % 3).alias("b"))
+    return v.tff.where(f"{ID} % 4 <> 0").select(F.col(ID).alias("a"), (F.col(ID) + 1 + F.col(ID) % 3).alias("b"))
 
 
 @query(f"with recursive {_CC} select vertex, root from c")
@@ -312,40 +316,14 @@ def cc(v: Views) -> DataFrame:
     return graph.components(_merges(v))
 
 
-def _vertices(v: Views) -> DataFrame:
-    return v.tff.where(f"{ID} < 3000").select(F.col(ID).alias("vertex"))
-
-
-@query(f"with recursive {_CC} select t.tracking_frame_feature_id as vertex, coalesce(c.root, t.tracking_frame_feature_id) as root from tff t left join c on c.vertex = t.tracking_frame_feature_id where t.tracking_frame_feature_id < 3000")
+@query(f"with recursive {_CC} select t.tracking_frame_feature_id as vertex, coalesce(c.root, t.tracking_frame_feature_id) as root from tff t left join c on c.vertex = t.tracking_frame_feature_id")
 def clique_merge(v: Views) -> DataFrame:
-    return graph.cliques(_vertices(v), _merges(v))
+    return graph.cliques(v.tff.select(F.col(ID).alias("vertex")), _merges(v))
 
 
 @query(f"with recursive {_CC} select root, min(vertex) as least, count(*) as members from c group by 1")
 def clique_rep(v: Views) -> DataFrame:
-    return graph.components(_merges(v)).groupBy("root").agg(F.min("vertex").alias("least"), F.count("*").alias("members"))
-
-
-# The three queries above keep the ids that their SQL names; these three cover all of tff, which the recursive SQL cannot.
-
-
-def _all_merges(v: Views) -> DataFrame:
-    return v.tff.select(F.col(ID).alias("a"), (F.col(ID) + 1 + F.col(ID) % 3).alias("b"))
-
-
-@query()
-def cc_all(v: Views) -> DataFrame:
-    return graph.components(_all_merges(v).where("a % 4 <> 0"))
-
-
-@query()
-def clique_merge_all(v: Views) -> DataFrame:
-    return graph.cliques(v.tff.select(F.col(ID).alias("vertex")), _all_merges(v).where("a % 4 <> 0"))
-
-
-@query()
-def clique_rep_all(v: Views) -> DataFrame:
-    return cc_all(v).groupBy("root").agg(F.min("vertex").alias("least"), F.count("*").alias("members"))
+    return cc(v).groupBy("root").agg(F.min("vertex").alias("least"), F.count("*").alias("members"))
 
 
 _OWN = "own as (select tracking_id as vertex, video_id*100 + tracking_id % 3 as root from tracking), cuts as (select l.tracking_id as a, r.tracking_id as b from spans l join spans r on l.video_id = r.video_id and l.tracking_id < r.tracking_id and l.f0 <= r.f1 and r.f0 <= l.f1), rc as (select distinct a.root as a, b.root as b from cuts join own a on a.vertex = cuts.a join own b on b.vertex = cuts.b), ways as (select a, b from rc union select b, a from rc)"
@@ -377,28 +355,22 @@ def clique_prune(v: Views) -> DataFrame:
     return graph.pruned(own, graph.root_cuts(own, cuts))
 
 
-_LAYERS = """pc as (select a.video_id as a, b.video_id as b from video_feature a join video_feature b on a.value <> b.value where a.video_id < 40 and b.video_id < 40),
-up as (select tracking_id as root, video_id as up from tracking),
-inh as (select l.root as a, r.root as b from pc join up l on l.up = pc.a join up r on r.up = pc.b),
-own as (select l.tracking_id as a, r.tracking_id as b from spans l join spans r on l.video_id = r.video_id and l.tracking_id <> r.tracking_id and l.f0 <= r.f1 and r.f0 <= l.f1),
-every as (select a, b from own union select a, b from inh)"""
+_APART = "own as (select l.tracking_id as a, r.tracking_id as b from spans l join spans r on l.video_id = r.video_id and l.tracking_id <> r.tracking_id and l.f0 <= r.f1 and r.f0 <= l.f1)"
 
 
-def _layers(v: Views) -> DataFrame:
+def _social(v: Views) -> tuple[DataFrame, DataFrame]:
+    """Cuts between trackings that overlap, and the social group of each tracking whose video has one."""
     own = v.tracking.select(F.col("tracking_id").alias("vertex"), F.col("tracking_id").alias("root"))
-    videos = v.tracking.select(F.col("video_id").alias("vertex")).distinct()
-    above = videos.select("vertex", F.col("vertex").alias("root"))
-    pairs = mining.group_negatives(v.video_feature.where("video_id < 40")).toDF("a", "b")
-    parent_cuts = graph.root_cuts(above, pairs)
-    cuts = mining.overlapping_trackings(v.tff).toDF("a", "b")
-    return graph.layered_cuts(own, cuts, v.tracking.toDF("vertex", "parent"), above, parent_cuts)
+    cuts = graph.root_cuts(own, mining.overlapping_trackings(v.tff).toDF("a", "b"))
+    return cuts, v.tracking.join(v.video_feature, "video_id").select(F.col("tracking_id").alias("root"), F.col("value").alias("g"))
 
 
-@query(f"with {_LAYERS} select * from every")
+@query(f"with {_APART}, g as (select t.tracking_id as root, f.value as g from tracking t join video_feature f on f.video_id = t.video_id), s as (select g, count(*) as m from g group by 1), n as (select root, (select sum(m) from s) - m as n from g join s using (g) union all select a, 1 from own) select root, cast(sum(n) as bigint) as neighbours from n group by 1 having sum(n) > 0")
 def clique_multilayer(v: Views) -> DataFrame:
-    return _layers(v)
-
-
+    """Of each tracking how many it is cut from: those it overlaps, and those of videos of other social groups."""
+    cuts, groups = _social(v)
+    own = v.tracking.select(F.col("tracking_id").alias("vertex"), F.col("tracking_id").alias("root"))
+    return graph.layered_degrees(own, cuts, groups)
 
 
 def _features(v: Views) -> DataFrame:
@@ -413,9 +385,14 @@ def ssl_overlap(v: Views) -> DataFrame:
     return nlets.clique_negatives(own, cuts).select("id")
 
 
-@query(f"with {_LAYERS}, m as (select tracking_id as root, tracking_frame_feature_id as vertex from tff where tracking_id is not null and cached) select vertex as id from m where root in (select a from every where b in (select root from m))")
+@query(f"with {_APART}, m as (select tracking_id as root, tracking_frame_feature_id as vertex, video_id from tff where tracking_id is not null and cached), g as (select distinct m.root, f.value as g from m join video_feature f on f.video_id = m.video_id) select vertex as id, true as apart from m where (root in (select root from g) and (select count(distinct g) from g) > 1) or root in (select a from own where b in (select root from m))")
 def ssl_social(v: Views) -> DataFrame:
-    return nlets.clique_negatives(_features(v), _layers(v)).select("id")
+    """Which features have a negative over the layers, and whether the cliques of the two are cut apart."""
+    own, (cuts, groups) = _features(v), _social(v)
+    side = own.join(groups, "root", "left")
+    got = nlets.layered_negatives(own, cuts, groups).join(side.toDF("a", "id", "ga"), "id").join(side.toDF("b", "negative", "gb"), "negative")
+    hit = got.join(cuts.withColumn("cut", F.lit(True)), ["a", "b"], "left")
+    return hit.select("id", (F.coalesce(F.col("ga") != F.col("gb"), F.lit(False)) | F.col("cut").isNotNull()).alias("apart"))
 
 
 @query("with m as (select tracking_id as root, tracking_frame_feature_id as vertex from tff where tracking_id is not null and cached), c as (select l.tracking_id as a, r.tracking_id as b from spans l join spans r on l.video_id = r.video_id and l.tracking_id <> r.tracking_id and l.f0 <= r.f1 and r.f0 <= l.f1) select count(*) as n, count(*) as good from m where root in (select a from c where b in (select root from m))")

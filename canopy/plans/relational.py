@@ -324,16 +324,10 @@ def j_overlap(v: Views) -> DataFrame:
     return mining.overlapping_trackings(v.tff)
 
 
-@query("select count(*) as n, cast(sum(l.video_id) as bigint) as sl, cast(sum(r.video_id) as bigint) as sr from video_feature l join video_feature r on l.video_id < r.video_id and l.value <> r.value where l.video_id < 2000 and r.video_id < 2000")
+@query("with f as (select video_id as id, row_number() over (order by video_id) - row_number() over (partition by value order by video_id) as smaller, count(*) over () - count(*) over (partition by value) as other from video_feature where value is not null) select cast(sum(smaller) as bigint) as n, cast(sum(id * (other - smaller)) as varchar) as sl, cast(sum(id * smaller) as varchar) as sr from f")
 def j_social(v: Views) -> DataFrame:
-    few = mining.group_negatives(v.video_feature.where("video_id < 2000"))  # the pairs of all ids grow with their square
-    return few.agg(F.count("*").alias("n"), F.sum("left_id").alias("sl"), F.sum("right_id").alias("sr"))
-
-
-@query()
-def j_social_all(v: Views) -> DataFrame:
-    """j_social over all ids, which its SQL cannot expand: from ranks, without making the pairs."""
-    return mining.group_negative_sums(v.video_feature)
+    """The number of pairs and the sums of their ids, which pass 64 bits; from ranks, without making the pairs."""
+    return mining.group_negative_sums(v.video_feature).select("n", F.col("sl").cast("string").alias("sl"), F.col("sr").cast("string").alias("sr"))
 
 
 @query("with b as (select video_id, value, (row_number() over (order by video_id) - 1) // 200 as k from video_feature) select l.video_id as left_id, r.video_id as right_id from b l join b r on l.k = r.k and l.video_id < r.video_id and l.value <> r.value")
@@ -411,8 +405,8 @@ def j_full_outer(v: Views) -> DataFrame:
     return a.join(b, "m", "full_outer").na.fill(0, ["videos", "images"])
 
 
-@query("""with neg as (select a.vec_id as id, b.vec_id as negative from emb a join emb b on b.label = (a.label + 1) % 10 and b.vec_id % 50 < 5),
-kept as (select vec_id as id from emb where vec_id % 3 = 0),
+@query("""with neg as (select a.vec_id as id, b.vec_id as negative from emb a join emb b on b.vec_id in (a.vec_id + 1, a.vec_id + 7) and b.label <> a.label),
+kept as (select vec_id as id from emb where partition = 'val'),
 usable as (select distinct n.id from neg n join kept k on n.id = k.id join kept m on n.negative = m.id),
 added as (select min(negative) as id from neg join kept using (id) where id not in (select id from usable) group by neg.id),
 every as (select id from kept union select id from added)
@@ -420,9 +414,9 @@ select n.id, n.negative from neg n join every a on n.id = a.id join every b on n
 def curate_ssl(v: Views) -> DataFrame:
     from canopy.operators.vectors import with_negatives
 
-    own = v.emb.select(F.col("vec_id").alias("id"), ((F.col("label") + 1) % 10).alias("label"))
-    neg = own.join(v.emb.where("vec_id % 50 < 5").select(F.col("vec_id").alias("negative"), "label"), "label").select("id", "negative")
-    return with_negatives(own.where("id % 3 = 0").select("id"), neg)[1]
+    own = v.emb.select(F.col("vec_id").alias("id"), "label", F.explode(F.array(F.col("vec_id") + 1, F.col("vec_id") + 7)).alias("negative"))
+    neg = own.join(v.emb.select(F.col("vec_id").alias("negative"), F.col("label").alias("l")), "negative").where("label <> l").select("id", "negative")
+    return with_negatives(v.emb.where("partition = 'val'").select(F.col("vec_id").alias("id")), neg)[1]
 
 
 # --- tasks ----------------------------------------------------------------------------------------------------
