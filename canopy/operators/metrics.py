@@ -8,12 +8,33 @@ from pyspark.sql import functions as F
 from canopy.operators.vectors import nearest
 
 
+def votes(found: DataFrame, labels: DataFrame) -> DataFrame:
+    """(id, predicted, n, first): how many neighbours each class has, and the rank of the nearest; classes without any have no row."""
+    named = found.join(labels.select(F.col("id").alias("neighbour"), F.col("label").alias("predicted")), "neighbour")
+    return named.groupBy("id", "predicted").agg(F.count("*").alias("n"), F.min("rank").alias("first"))
+
+
+def auroc(seen: DataFrame, rows: DataFrame) -> DataFrame:
+    """One row (auroc): the mean over classes of the area under the one-against-rest curve of their votes, ties as a half.
+    Classes that no row or every row has take no part.
+
+    Rows are counted by class and votes, and what has no vote for a class is the remainder, so the matrix of rows and
+    classes is never made.
+    """
+    level = seen.join(rows.select("id", "label"), "id").groupBy(F.col("predicted").alias("c"), "n").agg(F.count_if(F.col("label") == F.col("predicted")).alias("pos"), F.count_if(F.col("label") != F.col("predicted")).alias("neg"))
+    support = rows.groupBy(F.col("label").alias("c")).agg(F.count("*").alias("p")).join(F.broadcast(rows.agg(F.count("*").alias("t")))).where("p < t")  # one row
+    held = level.groupBy("c").agg(F.sum("pos").alias("vp"), F.sum("neg").alias("vn"))
+    none = support.join(held, "c", "left").na.fill(0, ["vp", "vn"]).select("c", F.lit(0).cast("bigint").alias("n"), (F.col("p") - F.col("vp")).alias("pos"), (F.col("t") - F.col("p") - F.col("vn")).alias("neg"))
+    below = Window.partitionBy("c").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    won = F.col("pos") * (F.coalesce(F.sum("neg").over(below), F.lit(0)) + F.col("neg") / 2)
+    area = level.union(none).withColumn("won", won).groupBy("c").agg(F.sum("won").alias("won")).join(support, "c")
+    return area.agg(F.avg(F.col("won") / (F.col("p") * (F.col("t") - F.col("p")))).alias("auroc"))
+
+
 def vote(found: DataFrame, labels: DataFrame, k: int) -> DataFrame:
     """(id, predicted, p): the class with most of the k votes; of equally voted ones, that of the nearest neighbour."""
-    named = found.join(labels.select(F.col("id").alias("neighbour"), F.col("label").alias("predicted")), "neighbour")
-    votes = named.groupBy("id", "predicted").agg(F.count("*").alias("n"), F.min("rank").alias("first"))
     w = Window.partitionBy("id").orderBy(F.desc("n"), "first")
-    return votes.withColumn("__i", F.row_number().over(w)).where("__i = 1").select("id", "predicted", (F.col("n") / k).alias("p"))
+    return votes(found, labels).withColumn("__i", F.row_number().over(w)).where("__i = 1").select("id", "predicted", (F.col("n") / k).alias("p"))
 
 
 def confusion(rows: DataFrame) -> DataFrame:

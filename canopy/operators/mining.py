@@ -89,7 +89,7 @@ def travel_negatives(video: DataFrame, camera: DataFrame, km_per_hour: float) ->
     c = camera.where("latitude is not null and longitude is not null").select("camera_id", "latitude", "longitude")
     left_c, right_c = (c.select(*(F.col(x).alias(p + x) for x in c.columns)) for p in ("l_", "r_"))
     km = geometry.great_circle_km(F.col("l_latitude"), F.col("l_longitude"), F.col("r_latitude"), F.col("r_longitude"))
-    trips = left_c.join(F.broadcast(right_c), F.col("l_camera_id") != F.col("r_camera_id")).select("l_camera_id", "r_camera_id", (km / F.lit(float(km_per_hour))).alias("travel"))
+    trips = left_c.join(right_c, F.col("l_camera_id") != F.col("r_camera_id")).select("l_camera_id", "r_camera_id", (km / F.lit(float(km_per_hour))).alias("travel"))
     slice_hours = 3.1416 * geometry.EARTH_KM / km_per_hour  # no travel is longer
     hours = F.timestamp_diff("MICROSECOND", F.lit("2000-01-01 00:00:00").cast("timestamp_ntz"), F.col("start_time")) / F.lit(3.6e9)
     v = video.where("start_time is not null").select("video_id", "camera_id", "start_time", F.floor(hours / slice_hours).alias("slice"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from canopy.functions.names import hashed
+from canopy.operators.mining import with_rank
 
 
 def split_sizes(n: Column, val: int, test: int, folds: bool = False) -> tuple[Column, Column, Column]:
@@ -64,11 +65,11 @@ def closed_set(images: DataFrame, val: int, test: int, id_col: str = "image_id",
 def open_set(images: DataFrame, val: int, test: int, id_col: str = "image_id", label: str = "label", seed: int = 0) -> DataFrame:
     """(id, partition): whole individuals, in the hash order of their first image: val, then test, then train."""
     first = images.groupBy(label).agg(F.min(F.struct(hashed(F.col(id_col), seed).alias("h"), F.col(id_col).alias("i"))).alias("f"))
-    order = Window.orderBy("f")  # over individuals, which are few
-    ranked = first.withColumn("__r", F.row_number().over(order) - 1).withColumn("__n", F.count("*").over(Window.partitionBy(F.lit(0))))
+    ranked = with_rank(first.select(label, "f.h", "f.i"), "h", "i").withColumn("__r", F.col("rank") - 1)
+    ranked = ranked.join(F.broadcast(first.agg(F.count("*").alias("__n"))))  # one row
     _, v, t = split_sizes(F.col("__n"), val, test)
     named = ranked.select(label, F.when(F.col("__r") < v, "val").when(F.col("__r") < v + t, "test").otherwise("train").alias("partition"))
-    return images.select(id_col, label).join(F.broadcast(named), label).select(id_col, "partition")
+    return images.select(id_col, label).join(named, label).select(id_col, "partition")
 
 
 def equal_folds(images: DataFrame, k: int, id_col: str = "image_id", seed: int = 0) -> DataFrame:
@@ -102,7 +103,7 @@ def balanced_folds(images: DataFrame, k: int, train_share: float = 0.8, id_col:
     rows = [(x, placed.get(x, -1)) for x, _ in counts]
     kind = images.schema[label].dataType.simpleString()
     named = images.sparkSession.createDataFrame(rows, f"{label} {kind}, fold int")
-    return images.select(id_col, label).join(F.broadcast(named), label).select(id_col, "fold")
+    return images.select(id_col, label).join(named, label).select(id_col, "fold")
 
 
 def fold_view(rows: DataFrame, val_fold: int, fold: str = "fold") -> DataFrame:
@@ -127,8 +128,8 @@ def integrity(images: DataFrame, boxes: DataFrame) -> DataFrame:
     own = images.join(boxes.select("image_id", F.col("subject").alias("label")).distinct(), ["image_id", "label"], "left_semi")
     only_test, only_val = proprietary(own, "test"), proprietary(own, "val")
     shown = boxes.select("image_id", F.col("subject").alias("label"))
-    to_test = shown.join(F.broadcast(only_test), "label", "left_semi").select("image_id").distinct().withColumn("__t", F.lit(True))
-    to_val = shown.join(F.broadcast(only_val), "label", "left_semi").select("image_id").distinct().withColumn("__v", F.lit(True))
+    to_test = shown.join(only_test, "label", "left_semi").select("image_id").distinct().withColumn("__t", F.lit(True))
+    to_val = shown.join(only_val, "label", "left_semi").select("image_id").distinct().withColumn("__v", F.lit(True))
     moved = own.join(to_test, "image_id", "left").join(to_val, "image_id", "left")
     part = F.when(F.col("__t") & F.col("partition").isin("train", "val"), "test").when(F.col("__v") & (F.col("partition") == "train"), "val").otherwise(F.col("partition"))
     return moved.select("image_id", "label", part.alias("partition"))

@@ -46,3 +46,15 @@ def describe(rows: DataFrame, column: str) -> DataFrame:
 def grid(rows: DataFrame, x: str, y: str, cell: int = 100) -> DataFrame:
     """(x, y, n): counts by cells of a plane."""
     return rows.groupBy((F.floor(F.col(x) / cell) * cell).alias("x"), (F.floor(F.col(y) / cell) * cell).alias("y")).agg(F.count("*").alias("n"))
+
+
+def running_max(rows: DataFrame, order: str, value: str, width: int = 1 << 16) -> DataFrame:
+    """rows with `running`, the largest value up to and at this place in the order of a whole number; nulls are passed over.
+
+    Maxima run inside ranges of the order; what went before comes from one maximum for each range.
+    """
+    ranged = rows.withColumn("__range", F.floor(F.col(order) / width))
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    most = ranged.groupBy("__range").agg(F.max(value).alias("__m")).select("__range", F.max("__m").over(before).alias("__before"))
+    inner = F.max(value).over(Window.partitionBy("__range").orderBy(order))
+    return ranged.join(most, "__range").withColumn("running", F.greatest(inner, "__before")).drop("__range", "__before")

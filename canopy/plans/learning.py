@@ -105,6 +105,15 @@ def knn_ssl(v: Views) -> DataFrame:
     return metrics.knn_negatives(rows, neg, 5)
 
 
+@query("""with near as (select a.id, b.label as said, row_number() over (partition by a.id order by list_distance(a.v, b.v), b.id) as i from vec a join vec b on a.id <> b.id where a.partition = 'val' and b.partition = 'val'),
+s as (select r.id, r.label, c.c, count(n.said) as n from (select id, label from vec where partition = 'val') r cross join (select distinct label as c from vec where partition = 'val') c left join near n on n.id = r.id and n.said = c.c and n.i <= 5 group by all),
+each as (select p.c, avg(case when p.n > q.n then 1.0 when p.n = q.n then 0.5 else 0.0 end) as auc from s p join s q on p.c = q.c where p.label = p.c and q.label <> q.c group by 1)
+select round(avg(auc), 6) as auroc from each""")
+def knn_auroc(v: Views) -> DataFrame:
+    own = _val(v)
+    return _round_all(metrics.auroc(metrics.votes(vectors.nearest(own, own, 5), own), own))
+
+
 @query("select label, count(*) as support, count(*) filter (where label = said) as tp, count(*) filter (where label <> said) as fn from (select label, (id * 7) % 10 as said from vec) group by 1")
 def cls_metrics(v: Views) -> DataFrame:
     return metrics.confusion(_rows(v).select("label", ((F.col("id") * 7) % 10).cast("int").alias("predicted"))).select("label", "support", "tp", "fn")
@@ -217,10 +226,8 @@ def pca(v: Views) -> DataFrame:
 @query("select vec_id, dense_rank() over (order by f) - 1 as code from (select vec_id, min(vec_id) over (partition by label) as f from emb)")
 def label_encode(v: Views) -> DataFrame:
     first = v.emb.groupBy("label").agg(F.min("vec_id").alias("f"))
-    from pyspark.sql import Window
-
-    codes = first.withColumn("code", (F.row_number().over(Window.orderBy("f")) - 1).cast("bigint"))  # over labels, which are few
-    return v.emb.select("vec_id", "label").join(F.broadcast(codes), "label").select("vec_id", "code")
+    codes = mining.with_rank(first, "f").select("label", (F.col("rank") - 1).alias("code"))
+    return v.emb.select("vec_id", "label").join(codes, "label").select("vec_id", "code")
 
 
 @query("select vec_id, unnest(range(0, 10)) as pos, cast(unnest(range(0, 10)) = label as int) as hot from emb")
@@ -280,11 +287,12 @@ def nlet_quadlet(v: Views) -> DataFrame:
     return nlets.quadlets(_rows(v))
 
 
-@query("select count(*) as rows, count(*) as good from vec")
+_PLACED = f"o as (select id, label, individual_video_id as vid, row_number() over (partition by label order by individual_video_id, {_H.format(c='id', s=0)}, id) - 1 as i, count(*) over (partition by label) as n, count(*) over (partition by label, individual_video_id) as m from vec), placed as (select *, min(i) over (partition by label, vid) as f, {_H.format(c='id', s=1)} as h from o)"
+
+
+@query(f"with {_PLACED} select a.id, b.id as positive from placed a join placed b on a.label = b.label and b.i = case when a.m < a.n then (a.f + a.m + a.h % greatest(a.n - a.m, 1)) % a.n when a.n > 1 then (a.i + 1 + a.h % greatest(a.n - 1, 1)) % a.n else a.i end")
 def nlet_xenc(v: Views) -> DataFrame:
-    rows = _rows(v).select("id", "label", "individual_video_id")
-    got = nlets.cross_encounter(rows).join(rows, "id").join(rows.toDF("positive", "pl", "pv"), "positive")
-    return got.agg(F.count("*").alias("rows"), F.count_if((F.col("label") == F.col("pl")) & (F.col("individual_video_id") != F.col("pv"))).alias("good"))
+    return nlets.cross_encounter(_rows(v))
 
 
 @query("select id from vec where label in (select label from vec group by 1 having count(distinct individual_video_id) > 1)")
@@ -292,11 +300,12 @@ def nlet_hard_xenc(v: Views) -> DataFrame:
     return nlets.cross_encounter(_rows(v), hard=True).select("id")
 
 
-@query("select count(*) as rows, count(*) as good from vec")
+_OTHER = f"grp as (select label, label % 2 as origin, row_number() over (partition by label % 2 order by min(id)) - 1 as g, count(*) as m, count(*) over (partition by label % 2) as k from vec group by label)"
+
+
+@query(f"with {_POS}, {_OTHER} select a.id, b.id as negative from num a join grp ga on ga.label = a.label and ga.k > 1 join grp gb on gb.origin = ga.origin and gb.g = (ga.g + 1 + {_H.format(c='a.id', s=2)} % (ga.k - 1)) % ga.k join num b on b.label = gb.label and b.i = {_H.format(c='a.id', s=3)} % gb.m")
 def nlet_species(v: Views) -> DataFrame:
-    rows = _rows(v).select("id", "label", (F.col("label") % 2).alias("origin"))
-    got = nlets.negatives(rows, within="origin").join(rows, "id").join(rows.toDF("negative", "nl", "no"), "negative")
-    return got.agg(F.count("*").alias("rows"), F.count_if((F.col("label") != F.col("nl")) & (F.col("origin") == F.col("no"))).alias("good"))
+    return nlets.negatives(_rows(v).select("id", "label", (F.col("label") % 2).alias("origin")), within="origin")
 
 
 # --- graphs -----------------------------------------------------------------------------------------------------------

@@ -349,7 +349,7 @@ def great_circle(v: Views) -> DataFrame:
     c = v.camera.where("latitude is not null")
     a, b = c.alias("a"), c.alias("b")
     km = geometry.great_circle_km(F.col("a.latitude"), F.col("a.longitude"), F.col("b.latitude"), F.col("b.longitude"))
-    return a.join(F.broadcast(b), F.col("a.camera_id") != F.col("b.camera_id")).select(F.col("a.camera_id").alias("ca"), F.col("b.camera_id").alias("cb"), F.round(km, 6).alias("km"))
+    return a.join(b, F.col("a.camera_id") != F.col("b.camera_id")).select(F.col("a.camera_id").alias("ca"), F.col("b.camera_id").alias("cb"), F.round(km, 6).alias("km"))
 
 
 @query("select video_id, round(abs(date_diff('microsecond', timestamp '1995-01-01', start_time))/3.6e9, 6) as hours from video")

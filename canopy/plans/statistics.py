@@ -37,7 +37,7 @@ def tracklets_per_camera(v: Views) -> DataFrame:
 @query("select name, count(*) as videos from video join camera using (camera_id) group by 1 order by 2 desc, 1")
 def videos_per_camera(v: Views) -> DataFrame:
     counts = v.video.groupBy("camera_id").agg(F.count("*").alias("videos"))  # aggregated before the join
-    return counts.join(F.broadcast(v.camera), "camera_id").select("name", "videos").orderBy(F.desc("videos"), "name")
+    return counts.join(v.camera, "camera_id").select("name", "videos").orderBy(F.desc("videos"), "name")
 
 
 @query("select camera_id, round(avg(frames/fps), 6) as seconds from video group by 1")
@@ -57,7 +57,7 @@ def h_time_of_day(v: Views) -> DataFrame:
 
 @query("select cast(start_time as date) as day, count(*) filter (where latitude is not null) as placed, count(*) filter (where latitude is null) as unplaced from video join camera using (camera_id) where year(start_time) > 1993 group by 1")
 def h_date_by_position(v: Views) -> DataFrame:
-    joined = v.video.where(F.year("start_time") > 1993).join(F.broadcast(v.camera), "camera_id")
+    joined = v.video.where(F.year("start_time") > 1993).join(v.camera, "camera_id")
     return joined.groupBy(F.to_date("start_time").alias("day")).agg(F.count_if(F.col("latitude").isNotNull()).alias("placed"), F.count_if(F.col("latitude").isNull()).alias("unplaced"))
 
 
@@ -166,9 +166,7 @@ def kfold_avg(v: Views) -> DataFrame:
 
 @query("select vec_id, label, max(label) over (order by vec_id rows between unbounded preceding and current row) as best from emb")
 def best_metric(v: Views) -> DataFrame:
-    # a log of one run's metrics; the window has one order for the whole run
-    w = Window.partitionBy(F.lit(0)).orderBy("vec_id").rowsBetween(Window.unboundedPreceding, 0)
-    return v.emb.select("vec_id", "label", F.max("label").over(w).alias("best"))
+    return stats.running_max(v.emb.select("vec_id", "label"), "vec_id", "label").withColumnRenamed("running", "best")
 
 
 @query("select camera_id, max_by(video_id, start_time) as video_id from (select camera_id, start_time, max(video_id) as video_id from video where start_time is not null group by 1, 2) group by 1")

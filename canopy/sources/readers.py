@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,3 +67,23 @@ def key_values(line: Column) -> Column:
     """`key value` tokens of one line as a map; the value Inf stands for unknown and becomes -1."""
     pairs = F.regexp_extract_all(line, F.lit(r"(\w+) (\S+)"), F.lit(0))
     return F.map_from_entries(F.transform(pairs, lambda p: F.struct(F.split_part(p, F.lit(" "), F.lit(1)).alias("key"), F.when(F.split_part(p, F.lit(" "), F.lit(2)) == "Inf", "-1").otherwise(F.split_part(p, F.lit(" "), F.lit(2))).alias("value"))))
+
+
+def read_npy(spark: SparkSession, ids: str, vectors: str, rows: int = 65536) -> DataFrame:
+    """id, v from two array files in a folder that all executors see: whole numbers, and a vector for each. Tasks map
+    ranges of rows, so no task and no driver holds a file; the driver reads the shapes."""
+    n, shape = np.load(ids, mmap_mode="r").shape[0], np.load(vectors, mmap_mode="r").shape
+    if len(shape) != 2 or shape[0] != n:
+        raise ValueError(f"{n} ids do not fit vectors of shape {shape}")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        i, x = np.load(ids, mmap_mode="r"), np.load(vectors, mmap_mode="r")
+        for batch in batches:
+            for k in batch["id"].to_pylist():
+                at = slice(k * rows, min(n, (k + 1) * rows))
+                flat = pa.array(np.ascontiguousarray(x[at]).reshape(-1).astype(np.float32))
+                lists = pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, shape[1], dtype=np.int32), flat)
+                yield pa.RecordBatch.from_arrays([pa.array(np.asarray(i[at]).astype(np.int64)), lists], ["id", "v"])
+
+    parts = -(-n // rows)
+    return spark.range(0, parts, 1, max(1, parts)).mapInArrow(run, "id bigint, v array<float>")

@@ -88,3 +88,27 @@ def test_negatives_over_layers_lie_in_all_cliques_that_are_cut(spark):
         assert {(root[i], root[n]) for i, n in got} <= apart
         seen |= {(root[i], root[n]) for i, n in got}
     assert len(seen) > len(apart) / 2
+
+
+def test_npy_rows(spark, tmp_path):
+    import numpy as np
+
+    from canopy.sources.readers import read_npy
+
+    x = np.arange(70, dtype=np.float64).reshape(10, 7)
+    np.save(tmp_path / "i.npy", np.arange(10, dtype=np.int32) * 3)
+    np.save(tmp_path / "v.npy", x)
+    got = read_npy(spark, str(tmp_path / "i.npy"), str(tmp_path / "v.npy"), rows=4).collect()
+    assert sorted((r["id"], r["v"]) for r in got) == [(3 * k, x[k].tolist()) for k in range(10)]
+
+
+def test_running_max_over_ranges(spark):
+    from canopy.operators import stats
+
+    values = [None if i % 9 == 4 else i * 37 % 53 for i in range(200)]
+    got = stats.running_max(spark.createDataFrame(list(enumerate(values)), "i bigint, x bigint"), "i", "x", width=16).collect()
+    most, want = None, {}
+    for i, x in enumerate(values):
+        most = x if most is None or (x is not None and x > most) else most
+        want[i] = most
+    assert {r["i"]: r["running"] for r in got} == want
