@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from canopy.operators.vectors import nearest
+from canopy.sources.scratch import Scratch
 
 
 def votes(found: DataFrame, labels: DataFrame) -> DataFrame:
@@ -31,10 +34,14 @@ def auroc(seen: DataFrame, rows: DataFrame) -> DataFrame:
     return area.agg(F.avg(F.col("won") / (F.col("p") * (F.col("t") - F.col("p")))).alias("auroc"))
 
 
+def ranked_votes(found: DataFrame, labels: DataFrame) -> DataFrame:
+    """votes() with `place`, from 1: classes by votes; of equally voted ones, that of the nearer neighbour comes first."""
+    return votes(found, labels).withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("n"), "first")))
+
+
 def vote(found: DataFrame, labels: DataFrame, k: int) -> DataFrame:
     """(id, predicted, p): the class with most of the k votes; of equally voted ones, that of the nearest neighbour."""
-    w = Window.partitionBy("id").orderBy(F.desc("n"), "first")
-    return votes(found, labels).withColumn("__i", F.row_number().over(w)).where("__i = 1").select("id", "predicted", (F.col("n") / k).alias("p"))
+    return ranked_votes(found, labels).where("place = 1").select("id", "predicted", (F.col("n") / k).alias("p"))
 
 
 def confusion(rows: DataFrame) -> DataFrame:
@@ -72,7 +79,7 @@ def knn(rows: DataFrame, k: int = 5, average: str = "weighted", metric: str = "e
     number of classes. with_train: train rows are neighbours too, never scored. cross_video:
     neighbours come from other videos, and only rows with 3 images elsewhere are scored; where fewer
     than k neighbours are left, they alone vote. use_filter: only classes with k div 2 + 2 val rows are scored.
-    Top 5 means that the class is among those of the neighbours, and equals the accuracy where k < 5.
+    Top 5 means that the class is among the five with most votes (see ranked_votes), and equals the accuracy where k < 5.
     """
     rows = rows.na.drop("any")
     own = rows.where("partition = 'val'")
@@ -86,14 +93,34 @@ def knn(rows: DataFrame, k: int = 5, average: str = "weighted", metric: str = "e
     if use_filter:
         big = own.groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") >= k // 2 + 2).select("label")
         scored = scored.join(big, "label", "left_semi")
-    judged = scored.select("id", "label").join(vote(found, pool, use), "id")
-    out = scores(judged, average)
+    return _evaluated(found, scored, pool, k, average)
+
+
+def _evaluated(found: DataFrame, scored: DataFrame, pool: DataFrame, k: int, average: str) -> DataFrame:
+    """One row: accuracy, accuracy_top5, f1, precision of the rows scored (id, label), from their neighbours."""
+    ranked = scored.select("id", "label").join(ranked_votes(found, pool), "id")
+    out = scores(ranked.where("place = 1"), average)
     if k < 5:
         return out.select("accuracy", F.col("accuracy").alias("accuracy_top5"), "f1", "precision")
-    named = found.where("rank <= 5").join(pool.select(F.col("id").alias("neighbour"), F.col("label").alias("l")), "neighbour")
-    hit = judged.select("id", "label").join(named, "id").groupBy("id").agg(F.max((F.col("l") == F.col("label")).cast("int")).alias("hit"))
+    hit = ranked.groupBy("id").agg(F.max(((F.col("place") <= 5) & (F.col("predicted") == F.col("label"))).cast("int")).alias("hit"))
     top = hit.agg(F.avg("hit").alias("accuracy_top5"))
-    return out.join(F.broadcast(top)).select("accuracy", "accuracy_top5", "f1", "precision")
+    return out.join(F.broadcast(top)).select("accuracy", "accuracy_top5", "f1", "precision")  # one row
+
+
+def knn_grid(rows: DataFrame, scratch: Scratch, ks: tuple[int, ...] = (1, 5), averages: tuple[str, ...] = ("weighted", "macro"), metrics: tuple[str, ...] = ("euclidean", "cosine")) -> DataFrame:
+    """A row (metric, k, average, accuracy, accuracy_top5, f1, precision) for each choice; neighbours are found once for
+    each metric and kept in scratch, whatever the number of choices."""
+    rows = rows.na.drop("any")
+    own = rows.where("partition = 'val'").select("id", "label", "v")
+    classes = own.select("label").distinct().count()
+    each = []
+    for metric in metrics:
+        found = scratch.keep(nearest(own, own, min(max(ks), classes), metric))
+        for k in ks:
+            near = found.where(F.col("rank") <= min(k, classes))
+            for average in averages:
+                each.append(_evaluated(near, own, own, k, average).select(F.lit(metric).alias("metric"), F.lit(k).alias("k"), F.lit(average).alias("average"), "*"))
+    return reduce(DataFrame.unionAll, each)
 
 
 def knn_folds(rows: DataFrame, k: int = 5, average: str = "weighted") -> DataFrame:

@@ -6,6 +6,8 @@ so a pick is an equality join and no group is gathered.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,6 +74,18 @@ def quadlets(rows: DataFrame, group: str = "label", seed: int = 0) -> DataFrame:
     return t.join(positives(rows, group, seed).toDF("anchor_negative", "negative"), "anchor_negative").select("id", "positive", "anchor_negative", "negative")
 
 
+#: The n-lets that a loss needs, by the start of its name.
+BY_LOSS = {"softmax": onelets, "ntxent": pairs, "offline": triplets, "online": quadlets, "distillation": triplets, "mae_mse": onelets}
+
+
+def for_loss(loss: str) -> Callable[..., DataFrame]:
+    """What builds the n-lets of a loss."""
+    fits = [name for name in BY_LOSS if loss.startswith(name)]
+    if not fits:
+        raise ValueError(f"no n-lets are known for loss {loss}; it must start with {', '.join(BY_LOSS)}")
+    return BY_LOSS[max(fits, key=len)]
+
+
 def cross_encounter(rows: DataFrame, group: str = "label", video: str = "individual_video_id", seed: int = 0, hard: bool = False) -> DataFrame:
     """(id, positive): a member seen in another video, unless the group has only one video (then another member).
 

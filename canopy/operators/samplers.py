@@ -80,3 +80,13 @@ def farthest(df: DataFrame, n: int, vector: str = "v", group: str = "tracking_id
         return pdf.iloc[sorted(taken)]
 
     return df.groupBy(group).applyInPandas(pick, df.schema)
+
+
+def random_frame(video: DataFrame, seed: int = 0, id_col: str = "video_id") -> DataFrame:
+    """video with `frame_nr`, one of its frames (from 0) by a stable hash; videos without frames give nothing."""
+    return video.where("frames > 0").withColumn("frame_nr", F.pmod(names.hashed(F.col(id_col), seed), F.col("frames")))
+
+
+def first(df: DataFrame, n: int, *order: str) -> DataFrame:
+    """The first n rows, or all if there are fewer."""
+    return df.orderBy(*order).limit(n)

@@ -1,4 +1,4 @@
-"""The task table: which tasks may run, progress, resets. Claiming a task is not a query."""
+"""The task table: which tasks may run, claims and outcomes, progress, resets, and what to delete when."""
 
 from __future__ import annotations
 
@@ -45,3 +45,35 @@ def mark_cached(tff: DataFrame, done: DataFrame) -> DataFrame:
 def add_missing(existing: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """existing and those rows of new whose key it lacks."""
     return existing.unionByName(new.dropDuplicates([key]).join(existing.select(key), key, "left_anti").select(existing.columns))
+
+
+def claim(task: DataFrame, task_type: str, subtype: str, now: Column, n: int, timeout_hours: int = 24, retries: int = 0) -> DataFrame:
+    """task, with the first n eligible tasks of a type and subtype (by id) in processing since now; one that had been
+    tried has one retry more. A table has one writer at a time, so n workers share one claim instead of locking rows."""
+    own = eligible(task, task_type, now, timeout_hours, retries).where(F.col("task_subtype") == subtype)
+    taken = own.select("task_id").orderBy("task_id").limit(n).withColumn("__c", F.lit(True))
+    mine = F.col("__c").isNotNull()
+    again = F.when(mine & (F.col("status") != "pending"), 1).otherwise(0)
+    out = task.join(F.broadcast(taken), "task_id", "left")  # n rows
+    return out.withColumns({"retries": F.col("retries") + again, "status": F.when(mine, "processing").otherwise(F.col("status")), "updated_at": F.when(mine, now).otherwise(F.col("updated_at"))}).drop("__c")
+
+
+def finish(task: DataFrame, outcome: DataFrame) -> DataFrame:
+    """task after outcomes (task_id, ok): tasks in processing are completed or, if any outcome is bad, failed."""
+    o = outcome.groupBy("task_id").agg(F.min("ok").alias("__ok"))
+    ended = (F.col("status") == "processing") & F.col("__ok").isNotNull()
+    status = F.when(ended, F.when(F.col("__ok"), "completed").otherwise("failed")).otherwise(F.col("status"))
+    return task.join(o, "task_id", "left").withColumn("status", status).drop("__ok")
+
+
+def reset_cached(tff: DataFrame, low: int | None = None, high: int | None = None) -> DataFrame:
+    """tff with cached unset for ids from low up to high, exclusive; for all rows without bounds. One rewrite needs no batches."""
+    c = F.col("tracking_frame_feature_id")
+    hit = (F.lit(True) if low is None else c >= low) & (F.lit(True) if high is None else c < high)
+    return tff.withColumn("cached", F.col("cached") & ~hit)
+
+
+def deletion_plan(runs: DataFrame, path: Column, made: Column, reasons: Column, days: int) -> DataFrame:
+    """(at, path, reasons) of the runs that have reasons: they go so many days after they were made."""
+    out = runs.select(F.timestamp_add("DAY", F.lit(days), made).alias("at"), path.alias("path"), reasons.alias("reasons"))
+    return out.where(F.size("reasons") > 0)

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from canopy.functions.names import hashed
 from canopy.operators.graph import components
 
 #: Rows in one block, about.
@@ -104,16 +105,44 @@ def prototypes(rows: DataFrame, label: str = "label") -> DataFrame:
     return means.groupBy(label).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("v"))
 
 
-def classify_by_prototype(rows: DataFrame, label: str = "label", scale: float = 64.0) -> DataFrame:
-    """id, label, predicted, probability: softmax over cosines with the class means, which are one row per class."""
+def _by_prototype(rows: DataFrame, label: str, scale: float) -> tuple[DataFrame, Column, Column]:
+    """(id, label, s), the greatest of s, and the sum of exponentials above it; s: scaled cosine with each class's mean, and the class, negated."""
     p = prototypes(rows, label).select(F.col(label).alias("predicted"), F.col("v").alias("pv"))
     means = p.agg(F.collect_list(F.struct("predicted", "pv")).alias("p"))
     scored = rows.join(F.broadcast(means)).select("id", label, F.transform("p", lambda s: F.struct((cosine(F.col("v"), s["pv"]) * scale).alias("s"), (-s["predicted"]).alias("o"))).alias("s"))
     top = F.array_max("s")
-    total = F.aggregate("s", F.lit(0.0), lambda a, x: a + F.exp(x["s"] - top["s"]))
+    return scored, top, F.aggregate("s", F.lit(0.0), lambda a, x: a + F.exp(x["s"] - top["s"]))
+
+
+def classify_by_prototype(rows: DataFrame, label: str = "label", scale: float = 64.0) -> DataFrame:
+    """id, label, predicted, probability: softmax over cosines with the class means, which are one row per class."""
+    scored, top, total = _by_prototype(rows, label, scale)
     return scored.select("id", label, (-top["o"]).alias("predicted"), (1 / total).alias("probability"))
 
 
+def prototype_loss(rows: DataFrame, label: str = "label", scale: float = 64.0) -> DataFrame:
+    """One row (loss): the mean over rows of the cross entropy of their class under the softmax of classify_by_prototype."""
+    scored, top, total = _by_prototype(rows, label, scale)
+    own = F.filter("s", lambda x: x["o"] == -F.col(label))[0]["s"]
+    return scored.select((top["s"] + F.log(total) - own).alias("x")).agg(F.avg("x").alias("loss"))
+
+
+def mixup(rows: DataFrame, lam: float, batch: int, seed: int = 0) -> DataFrame:
+    """(id, partner, label, other, v): each row of a batch of so many consecutive ids mixed with another of the batch.
+
+    v is lam of the row's and the rest of its partner's, and so is the target of the classes label and other. Partners
+    are the batch's rows in hash order. A batch meets in one array, which its size bounds; its rows share dimensions.
+    """
+    own = rows.withColumn("__r", F.struct("id", "label", "v"))
+    sets = own.groupBy(F.floor(F.col("id") / batch)).agg(
+        F.array_sort(F.collect_list("__r")).alias("a"),
+        F.array_sort(F.collect_list(F.struct(hashed(F.col("id"), seed).alias("h"), F.col("id").alias("i"), F.col("__r").alias("r")))).alias("b"),
+    )
+    pair = sets.select(F.explode(F.arrays_zip("a", F.col("b.r").alias("b"))).alias("x")).select("x.a", "x.b")
+    mixed = F.zip_with("a.v", "b.v", lambda p, q: p * lam + q * (1 - lam))
+    return pair.select("a.id", F.col("b.id").alias("partner"), "a.label", F.col("b.label").alias("other"), mixed.alias("v"))
+
+
 def triplets(rows: DataFrame, margin: float, kind: str = "soft", cross_video: str | None = None, batch: int = 1 << 62) -> DataFrame:
     """(a, p, n, d_ap, d_an): valid triplets of rows (id, label, v), within batches of so many consecutive ids.
 

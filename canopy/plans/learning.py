@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from canopy.operators import filters, graph, metrics, mining, nlets, vectors
 from canopy.plans.registry import query
+from canopy.sources.scratch import Scratch
 from canopy.sources.views import Views
 
 ID = "tracking_frame_feature_id"
@@ -49,9 +50,9 @@ def knn_cos(v: Views) -> DataFrame:
     return _rounded(vectors.nearest(_val(v), _val(v), 5, "cosine"))
 
 
-def _knn_sql(k: int, average: str = "weighted", d: str = "list_distance(a.v, b.v)", train: bool = False, cross: bool = False, few: bool = False) -> str:
-    pool = "true" if train else "partition = 'val'"
-    scored = "select id, label from vec where partition = 'val'"
+def _knn_sql(k: int, average: str = "weighted", d: str = "list_distance(a.v, b.v)", train: bool = False, cross: bool = False, few: bool = False, fold: int | None = None) -> str:
+    pool = "true" if train else "partition = 'val'" if fold is None else f"partition = 'val' and fold = {fold}"
+    scored = "select id, label from pool where partition = 'val'"
     if cross:
         scored = f"select id, label from (select *, count(*) over (partition by label) - count(*) over (partition by individual_video_id) as n from vec where {pool}) where n >= 3 and partition = 'val'"
     if few:
@@ -62,10 +63,11 @@ def _knn_sql(k: int, average: str = "weighted", d: str = "list_distance(a.v, b.v
     return f"""with pool as (select * from vec where {pool}),
 near as (select a.id, b.label as said, row_number() over (partition by a.id order by {d}, b.id) as i from pool a join pool b on a.id <> b.id {'and a.individual_video_id <> b.individual_video_id' if cross else ''} where a.partition = 'val'),
 votes as (select id, said, count(*) as n, min(i) as f from near where i <= {k} group by 1, 2),
-pred as (select id, said from (select *, row_number() over (partition by id order by n desc, f) as r from votes) where r = 1),
+ranked as (select *, row_number() over (partition by id order by n desc, f) as place from votes),
+pred as (select id, said from ranked where place = 1),
 scored as ({scored}),
 rows as (select s.id, s.label, p.said from scored s join pred p using (id)),
-hits as (select r.id, max(cast(n.said = r.label as int)) as hit from rows r join near n on n.id = r.id and n.i <= 5 group by 1),
+hits as (select r.id, max(cast(n.said = r.label and n.place <= 5 as int)) as hit from rows r join ranked n on n.id = r.id group by 1),
 cls as (select distinct label as c from rows union select said from rows),
 conf as (select c, count(*) filter (where label = c) as support, count(*) filter (where label = c and said = c) as tp, count(*) filter (where said = c and label <> c) as fp from cls, rows group by 1),
 each as (select support, coalesce(tp/nullif(support, 0), 0) as recall, coalesce(tp/nullif(tp+fp, 0), 0) as precision, coalesce(2*tp/nullif(support+tp+fp, 0), 0) as f1 from conf),
@@ -84,6 +86,7 @@ def _knn(name: str, k: int, sql: dict, **how) -> None:
 _COS = "1 - list_cosine_similarity(a.v, b.v)"
 _knn("knn", 1, {})
 _knn("knn5", 5, {})
+_knn("knn9", 9, {})
 _knn("knn5_macro", 5, {"average": "macro"}, average="macro")
 _knn("knn5_cos", 5, {"d": _COS}, metric="cosine")
 _knn("knn_with_train", 5, {"train": True}, with_train=True)
@@ -91,9 +94,21 @@ _knn("knn_crossvideo", 5, {"cross": True}, cross_video=True)
 _knn("knn_filter", 5, {"few": True}, use_filter=True)
 
 
-@query()
+_GRID = [(m, k, a) for m in ("euclidean", "cosine") for k in (1, 5) for a in ("weighted", "macro")]
+
+
+@query(" union all ".join(f"select '{m}' as metric, {k} as k, '{a}' as average, * from ({_knn_sql(k, a, **({'d': _COS} if m == 'cosine' else {}))})" for m, k, a in _GRID))
+def knn_grid(v: Views) -> DataFrame:
+    out = metrics.knn_grid(_rows(v), Scratch(v.spark, "knn"))
+    return out.select("metric", "k", "average", *(F.round(c, 6).alias(c) for c in ("accuracy", "accuracy_top5", "f1", "precision")))
+
+
+_FOLDS = " union all ".join(f"select accuracy, f1, precision from ({_knn_sql(5, fold=f)})" for f in range(4))
+
+
+@query(f"select round(avg(accuracy), 5) as accuracy, round(avg(f1), 5) as f1, round(avg(precision), 5) as precision from ({_FOLDS})")
 def knn_kfold(v: Views) -> DataFrame:
-    return _round_all(metrics.knn_folds(_rows(v)))
+    return metrics.knn_folds(_rows(v)).select(*(F.round(c, 5).alias(c) for c in ("accuracy", "f1", "precision")))
 
 
 @query("""with near as (select a.id, a.label, b.label as said, row_number() over (partition by a.id order by list_distance(a.v, b.v), b.id) as i from vec a join vec b on a.id <> b.id and (b.label = a.label or b.label = (a.label + 1) % 10)),
@@ -142,6 +157,21 @@ def proto_classify(v: Views) -> DataFrame:
     return vectors.classify_by_prototype(_rows(v)).withColumn("probability", F.round("probability", 6))
 
 
+@query("""with e as (select label, generate_subscripts(v, 1) as p, unnest(v) as x from vec), m as (select label, p, avg(x) as x from e group by 1, 2), c as (select label, list(x order by p) as m from m group by 1),
+s as (select vec.id, vec.label, c.label as l, 64 * list_cosine_similarity(v, m) as s from vec, c),
+r as (select id, max(s) filter (where l = label) as own, max(s) as top from s group by 1)
+select round(avg(x), 5) as loss from (select r.id, any_value(top) + ln(sum(exp(s - top))) - any_value(own) as x from r join s using (id) group by 1)""")
+def proto_loss(v: Views) -> DataFrame:
+    return vectors.prototype_loss(_rows(v)).select(F.round("loss", 5).alias("loss"))
+
+
+@query("""with r as (select *, id // 32 as b, row_number() over (partition by id // 32 order by id) as i, row_number() over (partition by id // 32 order by (id*2654435761+3)%4294967296, id) as j from vec)
+select p.id, q.id as partner, p.label, q.label as other, round(0.25*p.v[1] + 0.75*q.v[1], 6) as x1, round(0.25*p.v[64] + 0.75*q.v[64], 6) as x64 from r p join r q on p.b = q.b and p.i = q.j""")
+def mixup(v: Views) -> DataFrame:
+    out = vectors.mixup(_rows(v), 0.25, 32, 3)
+    return out.select("id", "partner", "label", "other", F.round(F.col("v")[0], 6).alias("x1"), F.round(F.col("v")[63], 6).alias("x64"))
+
+
 _UNIT = "u as (select *, [x / sqrt(list_inner_product(v, v)) for x in v] as w from vec)"
 _NEAR9 = "n as (select id, neighbour from (select a.id, b.id as neighbour, list_distance(a.w, b.w) as d, row_number() over (partition by a.id order by list_distance(a.w, b.w), b.id) as i from u a join u b on a.id <> b.id) where i <= 8 and d*d < 1.2)"
 

@@ -117,6 +117,14 @@ def ingest_validate(v: Views) -> DataFrame:
     return v.video.where("fps >= 1 and frames >= 1").where("frames < 2000").select("video_id", "frames")
 
 
+@query("select video_id, concat_ws(',', case when not (case when video_id % 23 = 0 then 0 else fps end > target_output_fps) then 'fps above target' end, case when video_id % 19 = 0 then 'frames' end) as failed from video")
+def ingest_split(v: Views) -> DataFrame:
+    """Good videos and those put aside, with the reasons."""
+    odd = v.video.withColumns({"fps": F.when(F.col("video_id") % 23 == 0, 0.0).otherwise(F.col("fps")), "frames": F.when(F.col("video_id") % 19 == 0, 0).otherwise(F.col("frames"))})
+    good, bad = schema.split_valid(odd, "video")
+    return good.select("video_id", F.lit("").alias("failed")).unionAll(bad.select("video_id", F.array_join("failed", ",").alias("failed")))
+
+
 @query("select video_id, t as task_type, s as task_subtype, 'pending' as status, 0 as retries from video join (select 'track' as t, '' as s union all select 'predict', 'body' union all select 'predict', 'face_90' union all select 'correlate', 'face_90' union all select 'visualize', '') k on true")
 def task_fanout(v: Views) -> DataFrame:
     return tasks.fan_out(v.video)
@@ -447,6 +455,36 @@ def tasks_reset(v: Views) -> DataFrame:
     return tasks.reset_dependents(v.task, "predict", "correlate").select("task_id", "status")
 
 
+_CLAIMED = "(select task_id as taken from task where task_type = 'predict' and task_subtype = 'body' and (status = 'pending' or (status = 'processing' and date_diff('microsecond', updated_at, timestamp '1998-01-01') > 86400000000 and retries < 2) or (status = 'failed' and retries < 2)) order by task_id limit 64)"
+_NOW = "1998-01-01 00:00:00"
+
+
+@query(f"select task_id, case when taken is not null then 'processing' else status end as status, case when taken is not null and status <> 'pending' then retries + 1 else retries end as retries, case when taken is not null then timestamp '1998-01-01' else cast(updated_at as timestamp) end as updated_at from task left join {_CLAIMED} on task_id = taken")
+def tasks_claim(v: Views) -> DataFrame:
+    return tasks.claim(_stamped(v), "predict", "body", F.lit(_NOW).cast("timestamp_ntz"), 64, retries=2).select("task_id", "status", "retries", "updated_at")
+
+
+def _stamped(v: Views) -> DataFrame:
+    return v.task.withColumn("updated_at", F.col("updated_at").cast("timestamp_ntz"))
+
+
+@query("select task_id, case when status = 'processing' and task_id % 3 <> 0 then case when task_id % 5 = 0 then 'failed' else 'completed' end else status end as status from task")
+def tasks_finish(v: Views) -> DataFrame:
+    return tasks.finish(v.task, v.task.where("task_id % 3 <> 0").select("task_id", (F.col("task_id") % 5 != 0).alias("ok"))).select("task_id", "status")
+
+
+@query("select tracking_frame_feature_id, cached and not (tracking_frame_feature_id >= 200 and tracking_frame_feature_id < 700) as cached from tff")
+def reset_range(v: Views) -> DataFrame:
+    return tasks.reset_cached(v.tff, 200, 700).select(ID, "cached")
+
+
+@query("""select concat('{"at":', coalesce('"' || strftime(start_time + interval 30 day, '%Y-%m-%dT%H:%M:%S.000') || '"', 'null'), ',"path":"v/', video_id, '","reasons":[', concat_ws(',', case when frames < 300 then '"short"' end, case when start_time is null then '"untimed"' end), ']}') as target from video where frames < 300 or start_time is null""")
+def deletion_plan(v: Views) -> DataFrame:
+    why = F.array_compact(F.array(F.when(F.col("frames") < 300, "short"), F.when(F.col("start_time").isNull(), "untimed")))
+    plan = tasks.deletion_plan(v.video, F.concat(F.lit("v/"), "video_id"), F.col("start_time"), why, 30)
+    return plan.select(F.to_json(F.struct("at", "path", "reasons"), {"ignoreNullFields": "false"}).alias("target"))
+
+
 # --- set operations ---------------------------------------------------------------------------------------------
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from canopy.functions import geometry, names
+from canopy.functions import colors, geometry, names
 from canopy.operators import filters, mining, nlets, samplers, splits, stats
 from canopy.plans.registry import query
 from canopy.sources.views import Views
@@ -254,6 +254,21 @@ def s_equidistant(v: Views) -> DataFrame:
     return samplers.equidistant(v.tff.transform(filters.associated), 3).select(ID)
 
 
+@query("select video_id, ((video_id*2654435761+7)%4294967296) % frames as frame_nr from video where frames > 0")
+def s_random_frame(v: Views) -> DataFrame:
+    return samplers.random_frame(v.video, 7).select("video_id", "frame_nr")
+
+
+@query("select image_id from image where split = 'val' order by image_id limit 100")
+def l_val_cap(v: Views) -> DataFrame:
+    return samplers.first(v.image.where("split = 'val'").select("image_id"), 100, "image_id")
+
+
+@query("select image_id, image_id // 32 as batch from image order by batch, image_id limit 500")
+def l_first_of_batches(v: Views) -> DataFrame:
+    return samplers.first(v.image.select("image_id", F.floor(F.col("image_id") / 32).alias("batch")), 500, "batch", "image_id")
+
+
 @query()
 def s_movement(v: Views) -> DataFrame:
     return samplers.movement(v.tff, 3, 0.2).select(ID, "tracking_id")
@@ -308,6 +323,13 @@ def split_camera(v: Views) -> DataFrame:
     return splits.by_camera(v.video, [0, 1, 2, 3, 4, 5], [6, 7])
 
 
+@query("select video_id, case when camera_id < 12 and start_time < timestamp '1996-01-01' then 'train' when start_time < timestamp '1997-01-01' then 'val' when camera_id >= 6 then 'test' end as partition from video where (camera_id < 12 and start_time < timestamp '1996-01-01') or start_time < timestamp '1997-01-01' or camera_id >= 6")
+def split_custom(v: Views) -> DataFrame:
+    t = F.col("start_time")
+    before = lambda x: t < F.lit(x).cast("timestamp_ntz")
+    return splits.custom(v.video, (F.col("camera_id") < 12) & before("1996-01-01"), before("1997-01-01"), F.col("camera_id") >= 6)
+
+
 @query("select n, n - greatest(cast(floor(n*10/100) as bigint), 1) - greatest(cast(floor(n*25/100) as bigint), 1) as train, greatest(cast(floor(n*10/100) as bigint), 1) as val, greatest(cast(floor(n*25/100) as bigint), 1) as test from (select unnest(range(1, 200)) as n)")
 def compute_split(v: Views) -> DataFrame:
     a, b, c = splits.split_sizes(F.col("n"), 10, 25)
@@ -400,10 +422,20 @@ def yolo_convert(v: Views) -> DataFrame:
     return v.tff.select(ID, F.round(box[0], 9).alias("left_n"), F.round(box[1], 9).alias("w"))
 
 
-@query("select camera_id, (((camera_id * 2654435761) % 4294967296) >> 16) & 255 as a, xor(camera_id, 61) as b from camera")
+_HASHED = """h1 as (select tracking_frame_feature_id, tracking_id, xor(tracking_id >> 16, tracking_id)::hugeint * 73244475 as h from tff),
+h2 as (select tracking_frame_feature_id, tracking_id, xor(h >> 16, h) * 73244475 as h from h1), h3 as (select tracking_frame_feature_id, tracking_id, xor(h >> 16, h & 4294967295::hugeint) as h from h2)"""
+
+
+@query(f"with {_HASHED} select tracking_frame_feature_id, cast(h as varchar) as h from h3")
 def jenkins(v: Views) -> DataFrame:
-    c = F.col("camera_id").cast("bigint")
-    return v.camera.select("camera_id", F.shiftright((c * 2654435761) % 4294967296, 16).bitwiseAND(F.lit(255).cast("bigint")).alias("a"), F.col("camera_id").bitwiseXOR(F.lit(61)).alias("b"))
+    return v.tff.select(ID, colors.jenkins_hash(F.col("tracking_id")).cast("string").alias("h"))
+
+
+@query(f"""with {_HASHED}, c as (select tracking_frame_feature_id, cast(h % 360 as double) / 360 * 6 as x, case when (h // 360) % 2 = 0 then 0.7::double else 1::double end as s from h3),
+d as (select *, cast(floor(x) as int) as i, 0.9::double as v, 0.9::double * (1 - s) as p, 0.9::double * (1 - s * (x - floor(x))) as q, 0.9::double * (1 - s * (1 - (x - floor(x)))) as t from c)
+select tracking_frame_feature_id, cast(coalesce(trunc([p, p, t, v, v, q][i + 1] * 255), 0) as int) as b, cast(coalesce(trunc([t, v, v, q, p, p][i + 1] * 255), 0) as int) as g, cast(coalesce(trunc([v, q, p, p, t, v][i + 1] * 255), 255) as int) as r from d""")
+def id_color(v: Views) -> DataFrame:
+    return v.tff.select(ID, colors.of_id(F.col("tracking_id")).alias("c")).select(ID, "c.b", "c.g", "c.r")
 
 
 @query("select epoch, round(case when epoch < 5 then 1e-5 + (1e-3-1e-5)*epoch/5 else 1e-4 + (1e-3-1e-4)*(1+cos(pi()*(epoch-5)/45))/2 end, 9) as cosine, round(case when epoch < 5 then 1e-5 + (1e-3-1e-5)*epoch/5 else 1e-3 + (1e-4-1e-3)*(epoch-5)/45 end, 9) as linear, round(case when epoch < 5 then 1e-5 + (1e-3-1e-5)*epoch/5 else 1e-3 * power(0.9, epoch-5) end, 9) as exponential from (select unnest(range(0, 50)) as epoch)")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -87,3 +88,31 @@ def read_npy(spark: SparkSession, ids: str, vectors: str, rows: int = 65536) ->
 
     parts = -(-n // rows)
     return spark.range(0, parts, 1, max(1, parts)).mapInArrow(run, "id bigint, v array<float>")
+
+
+def read_table(spark: SparkSession, uri: str, table: str, key: str | None = None, parts: int = 16, **options: str) -> DataFrame:
+    """A table of a database (jdbc:...) or of a folder of Parquet files. With key, a whole number, a database is read
+    in ranges of it, one query for each part; else by one task."""
+    if not uri.startswith("jdbc:"):
+        return spark.read.parquet(f"{uri.rstrip('/')}/{table}.parquet")
+
+    def load(**how: str) -> DataFrame:
+        return spark.read.format("jdbc").options(url=uri, **options, **how).load()
+
+    if key is None:
+        return load(dbtable=table)
+    quoted = spark._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(uri).quoteIdentifier(key)
+    low, high = load(query=f"select min({quoted}) as low, max({quoted}) as high from {table}").first()
+    if low is None:
+        return load(dbtable=table)
+    return load(dbtable=table, partitionColumn=key, lowerBound=str(low), upperBound=str(high + 1), numPartitions=str(parts))
+
+
+def kept(spark: SparkSession, folder: str, key: tuple[str, ...], make: Callable[[], DataFrame]) -> DataFrame:
+    """The table that make() gives, written below a shared folder under a hash of key, and read from there the next
+    time. A table that was not written to its end is made again."""
+    at = f"{folder.rstrip('/')}/{hashlib.sha256(chr(0).join(key).encode()).hexdigest()}"
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{at}/_SUCCESS")
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        make().write.mode("overwrite").parquet(at)
+    return spark.read.parquet(at)
