@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from canopy.functions import geometry
 
 
+#: Keys that the left rows of a pair of groups are dealt over, so that no two groups meet in one task.
+SLICES = 64
+
+
 def tracking_spans(tff: DataFrame) -> DataFrame:
     """video_id, tracking_id, first and last frame."""
     return tff.where("tracking_id is not null").groupBy("video_id", "tracking_id").agg(F.min("frame_nr").alias("min_frame"), F.max("frame_nr").alias("max_frame"))
@@ -27,21 +31,21 @@ def overlapping_trackings(tff: DataFrame) -> DataFrame:
 def group_negatives(features: DataFrame, key: str = "video_id", value: str = "value", batch: int | None = None) -> DataFrame:
     """(left_id, right_id), left < right: rows of different groups.
 
-    Pairs of groups, which are few, are made first and expanded by equality joins, so no plan needs a
-    nested loop over rows. With a batch size, pairs stay within consecutive batches of ids; that is
-    the linear variant, since all pairs grow with the square of the ids.
+    With a batch size, pairs stay within consecutive batches of ids: the batch is the key, and since its size is bounded
+    the rest is a residual condition; the plan is linear. Without, pairs of groups, which are few, are made first and expanded by equality
+    joins; the left rows of a pair of groups are dealt over SLICES keys, and the right ones go to each of them.
     """
     rows = features.select(F.col(key).alias("id"), F.col(value).alias("g"))
     if batch:
         # the batch number of an id needs its global rank, counted over ranges of ids instead of in one task
-        rows = with_rank(rows, "id").withColumn("b", F.floor((F.col("rank") - 1) / batch).cast("bigint")).drop("rank")
-    else:
-        rows = rows.withColumn("b", F.col("id") % 1)  # a key that is not folded away, so that the joins stay equality joins
-    groups = rows.select("b", "g").distinct()
-    pairs = groups.select("b", F.col("g").alias("lg")).join(groups.select("b", F.col("g").alias("rg")), "b").where("lg <> rg")
-    left = rows.select("b", F.col("id").alias("left_id"), F.col("g").alias("lg"))
-    right = rows.select("b", F.col("id").alias("right_id"), F.col("g").alias("rg"))
-    return left.join(pairs, ["b", "lg"]).join(right, ["b", "rg"]).where("left_id < right_id").select("left_id", "right_id")
+        own = with_rank(rows, "id").select("id", "g", F.floor((F.col("rank") - 1) / batch).alias("b"))
+        left, right = (own.select("b", F.col("id").alias(f"{x}_id"), F.col("g").alias(f"{x}_g")) for x in ("left", "right"))
+        return left.join(right, "b").where("left_id < right_id and left_g <> right_g").select("left_id", "right_id")
+    groups = rows.select("g").distinct()
+    pairs = groups.select(F.col("g").alias("lg"), F.lit(0).alias("__k")).join(groups.select(F.col("g").alias("rg"), F.lit(0).alias("__k")), "__k").where("lg <> rg").drop("__k")
+    left = rows.select(F.col("id").alias("left_id"), F.col("g").alias("lg"), F.pmod(F.xxhash64("id"), F.lit(SLICES)).cast("int").alias("s"))
+    right = rows.select(F.col("id").alias("right_id"), F.col("g").alias("rg"), F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))).alias("s"))
+    return left.join(pairs, "lg").join(right, ["rg", "s"]).where("left_id < right_id").select("left_id", "right_id")
 
 
 def group_negative_sums(features: DataFrame, key: str = "video_id", value: str = "value", width: int = 1 << 16) -> DataFrame:
@@ -82,20 +86,21 @@ def with_rank(df: DataFrame, *order: str, width: int = 1 << 16) -> DataFrame:
 def travel_negatives(video: DataFrame, camera: DataFrame, km_per_hour: float) -> DataFrame:
     """(left_id, right_id), left < right: videos of different cameras too far apart for the time between them.
 
-    The table of camera pairs is small and carries the travel time; videos meet over their cameras, and
-    only within time slices as long as the longest travel, so that a pair of cameras is never expanded
-    over all its videos.
+    The table of camera pairs is small and carries the travel time; videos meet over their cameras and time
+    slices, a quarter as long as the longest travel. A video goes to those slices alone that the travel to the other
+    camera can reach, so few pairs are made that the exact condition drops.
     """
     c = camera.where("latitude is not null and longitude is not null").select("camera_id", "latitude", "longitude")
     left_c, right_c = (c.select(*(F.col(x).alias(p + x) for x in c.columns)) for p in ("l_", "r_"))
     km = geometry.great_circle_km(F.col("l_latitude"), F.col("l_longitude"), F.col("r_latitude"), F.col("r_longitude"))
     trips = left_c.join(right_c, F.col("l_camera_id") != F.col("r_camera_id")).select("l_camera_id", "r_camera_id", (km / F.lit(float(km_per_hour))).alias("travel"))
-    slice_hours = 3.1416 * geometry.EARTH_KM / km_per_hour  # no travel is longer
+    width = 3.1416 * geometry.EARTH_KM / km_per_hour / 4
     hours = F.timestamp_diff("MICROSECOND", F.lit("2000-01-01 00:00:00").cast("timestamp_ntz"), F.col("start_time")) / F.lit(3.6e9)
-    v = video.where("start_time is not null").select("video_id", "camera_id", "start_time", F.floor(hours / slice_hours).alias("slice"))
-    left = v.select(F.col("video_id").alias("left_id"), F.col("camera_id").alias("l_camera_id"), F.col("start_time").alias("lt"), F.explode(F.array(F.col("slice") - 1, F.col("slice"), F.col("slice") + 1)).alias("slice"))
-    right = v.select(F.col("video_id").alias("right_id"), F.col("camera_id").alias("r_camera_id"), F.col("start_time").alias("rt"), "slice")
-    met = left.join(trips, "l_camera_id").join(right, ["r_camera_id", "slice"])
+    v = video.where("start_time is not null").select("video_id", "camera_id", "start_time", hours.alias("h"))
+    left = v.select(F.col("video_id").alias("left_id"), F.col("camera_id").alias("l_camera_id"), F.col("start_time").alias("lt"), "h").join(trips, "l_camera_id")
+    reach = F.sequence(F.floor((F.col("h") - F.col("travel")) / width - 1e-9), F.floor((F.col("h") + F.col("travel")) / width + 1e-9))
+    right = v.select(F.col("video_id").alias("right_id"), F.col("camera_id").alias("r_camera_id"), F.col("start_time").alias("rt"), F.floor(F.col("h") / width).alias("slice"))
+    met = left.select("left_id", "lt", "travel", "r_camera_id", F.explode(reach).alias("slice")).join(right, ["r_camera_id", "slice"])
     return met.where((F.col("left_id") < F.col("right_id")) & (F.col("travel") > geometry.hours_apart(F.col("lt"), F.col("rt")))).select("left_id", "right_id")
 
 
