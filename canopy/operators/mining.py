@@ -41,8 +41,8 @@ def group_negatives(features: DataFrame, key: str = "video_id", value: str = "va
         own = with_rank(rows, "id").select("id", "g", F.floor((F.col("rank") - 1) / batch).alias("b"))
         left, right = (own.select("b", F.col("id").alias(f"{x}_id"), F.col("g").alias(f"{x}_g")) for x in ("left", "right"))
         return left.join(right, "b").where("left_id < right_id and left_g <> right_g").select("left_id", "right_id")
-    groups = rows.select("g").distinct()
-    pairs = groups.select(F.col("g").alias("lg"), F.lit(0).alias("__k")).join(groups.select(F.col("g").alias("rg"), F.lit(0).alias("__k")), "__k").where("lg <> rg").drop("__k")
+    groups = rows.select("g").distinct().withColumn("__k", F.pmod(F.xxhash64("g"), F.lit(1)))  # a key that is not folded away, so that the join stays an equality join
+    pairs = groups.withColumnRenamed("g", "lg").join(groups.withColumnRenamed("g", "rg"), "__k").where("lg <> rg").drop("__k")
     left = rows.select(F.col("id").alias("left_id"), F.col("g").alias("lg"), F.pmod(F.xxhash64("id"), F.lit(SLICES)).cast("int").alias("s"))
     right = rows.select(F.col("id").alias("right_id"), F.col("g").alias("rg"), F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))).alias("s"))
     return left.join(pairs, "lg").join(right, ["rg", "s"]).where("left_id < right_id").select("left_id", "right_id")
