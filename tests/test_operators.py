@@ -193,3 +193,27 @@ def test_plans_keep_their_shape(spark):
     assert "CartesianProduct" not in social and "NestedLoop" not in social
     assert "WindowGroupLimit" in plan(samplers.random(v.tff.where("tracking_id is not null"), 3))
     assert "ReadSchema: struct<n_nationkey:int>" in plan(v.camera.select("camera_id"))
+
+
+def test_travel_negatives_meet_once_and_compare_numbers(spark):
+    rng = np.random.default_rng(4)
+    camera = pd.DataFrame({"camera_id": range(6), "latitude": [0.0, 0.0, 40.0, -80.0, 0.0, None], "longitude": [0.0, 1.0, 100.0, -170.0, 0.0, 5.0]})
+    start = pd.Timestamp("2024-03-01") + pd.to_timedelta(rng.integers(0, 400 * 3600, 80), unit="s")
+    video = pd.DataFrame({"video_id": rng.permutation(80), "camera_id": rng.integers(0, 6, 80), "start_time": start.where(rng.random(80) > 0.1)})
+    rows = spark.createDataFrame([(int(r.video_id), int(r.camera_id), None if pd.isna(r.start_time) else str(r.start_time)) for r in video.itertuples()], "video_id bigint, camera_id int, start_time string")
+    rows = rows.withColumn("start_time", F.col("start_time").cast("timestamp_ntz"))
+    cameras = spark.createDataFrame([(int(i), None if pd.isna(a) else a, b) for i, a, b in camera.itertuples(index=False)], "camera_id int, latitude double, longitude double")
+    found = mining.travel_negatives(rows, cameras, 100.0)
+    at = {i: (np.radians(a), np.radians(b)) for i, a, b in camera.dropna().itertuples(index=False)}
+    want = []
+    for x in video.dropna().itertuples():
+        for y in video.dropna().itertuples():
+            if x.video_id < y.video_id and x.camera_id != y.camera_id and {x.camera_id, y.camera_id} <= set(at):
+                (a, b), (c, d) = at[x.camera_id], at[y.camera_id]
+                km = 6371 * np.arccos(np.clip(np.sin(a) * np.sin(c) + np.cos(a) * np.cos(c) * np.cos(b - d), -1, 1))
+                if km / 100 > abs((x.start_time - y.start_time).total_seconds()) / 3600:
+                    want.append((x.video_id, y.video_id))
+    assert len(want) > 100 and sorted(map(tuple, found.collect())) == sorted(want)
+    joins = [x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in x]
+    assert any("a_camera_id" in x and "< b_camera_id" in x for x in joins)  # a pair of cameras stands there once
+    assert not any("timestampdiff" in x.lower() for x in joins)  # no timestamps are subtracted for each pair
