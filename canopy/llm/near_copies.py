@@ -1,9 +1,14 @@
-"""Near copies by the Jaccard similarity of their word shingles: every pair of 0.8 or more, by prefix filtering.
+"""Near copies by SimHash, and by the Jaccard similarity of their word shingles: every pair of 0.8 or more.
 
-A text is the set of its shingles. In any one order of all shingles, two sets of n and m with a similarity of
-0.8 or more share one of the first n // 5 + 1 of the one and m // 5 + 1 of the other (else too few are left to
-share). So sets meet over these prefixes and are compared whole, and no pair is lost. The order is rare
-shingles first, by a sketch of their counts: it decides how many meet, never which pairs are found.
+A text is the set of its shingles. The SimHash of a set has 512 bits in 16 blocks; sets meet that agree in a block
+(pigeonhole: all that differ in 15 bits or fewer, and most of the close ones besides), pass a Hamming distance and then an
+exact comparison of whole sets. What is linked so makes components.
+
+SimHash has no distance that all pairs of 0.8 keep to. So what it leaves is found exactly, between components: in any one order
+of all shingles, two sets of n and m with a similarity of 0.8 or more share one of the first n // 5 + 1 of the one and
+m // 5 + 1 of the other (else too few are left to share). Sets of different components meet over these prefixes and are compared
+whole, and no link is lost. The order is rare shingles first, by a sketch of their counts: it decides how many meet,
+never which links are found.
 
 Before two sets are compared whole, their parity sketches are: a set's sketch has a bit for each class of hashes,
 the parity of its shingles there. Sketches differ in no more bits than sets differ in shingles, so pairs whose sketches
@@ -24,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from canopy.llm import simhash
 from canopy.llm._util import as_bytes, prepare
 from canopy.operators.graph import roots as roots_of
 from canopy.sources.scratch import Scratch
@@ -38,6 +44,8 @@ BLOCK = 512
 MARKS = 1 << 27
 #: Bits of the short parity sketch, and the fewest of a wide one; a power of two, 64 or more.
 SKETCH = 512
+#: Bits of a SimHash (of 512) in which sets may differ that are compared whole: those of 0.8 differ in 77 on average.
+DISTANCE = 128
 
 
 def shingle_set(text: bytes, width: int = 5) -> np.ndarray:
@@ -114,26 +122,27 @@ def _commonness(given: DataFrame, width: int) -> np.ndarray:
 
 
 def _prefixes(given: DataFrame, width: int, classes: np.ndarray) -> DataFrame:
-    """(id, key, n, centre, prefix, sketch, wide) of every row: key names the set of n shingles. The more common the
-    shingles of the prefix, the greater is centre."""
+    """(id, key, n, print, centre, prefix, sketch, wide) of every row: key names the set of n shingles, print is its
+    SimHash. The more common the shingles of the prefix, the greater is centre."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, sizes, centres, prefixes, sketches, wides = [], [], [], [], [], []
+            keys, sizes, prints, centres, prefixes, sketches, wides = [], [], [], [], [], [], []
             for x in as_bytes(batch["text"]):
                 found = shingle_set(x, width)
                 common = classes[_bucket(found)]
                 order = np.argsort(common, kind="stable")[: len(found) // 5 + 1]
                 keys.append(_key(found))
                 sizes.append(len(found))
+                prints.append(simhash.wide_fingerprint(found))
                 centres.append(float(common[order].mean()) if len(found) else 0.0)
                 prefixes.append(found[order].view(np.int64))
                 sketches.append(sketch(found))
                 wides.append(wide_sketch(found))
-            cols = [pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), pa.array(centres, pa.float32()), *(pa.array(x, pa.list_(pa.int64())) for x in (prefixes, sketches, wides))]
-            yield pa.RecordBatch.from_arrays([batch["id"], *cols], ["id", "key", "n", "centre", "prefix", "sketch", "wide"])
+            cols = [pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), pa.array(prints, pa.list_(pa.int32())), pa.array(centres, pa.float32()), *(pa.array(x, pa.list_(pa.int64())) for x in (prefixes, sketches, wides))]
+            yield pa.RecordBatch.from_arrays([batch["id"], *cols], ["id", "key", "n", "print", "centre", "prefix", "sketch", "wide"])
 
-    return given.mapInArrow(run, f"id {given.schema['id'].dataType.simpleString()}, key bigint, n int, centre float, prefix array<bigint>, sketch array<bigint>, wide array<bigint>")
+    return given.mapInArrow(run, f"id {given.schema['id'].dataType.simpleString()}, key bigint, n int, print array<int>, centre float, prefix array<bigint>, sketch array<bigint>, wide array<bigint>")
 
 
 def _marks(hashes: DataFrame, n: int) -> np.ndarray:
@@ -198,10 +207,10 @@ def _wide_close(left: str, right: str, ln: str, rn: str) -> F.Column:
 
 
 def _alike(pairs: DataFrame, sets_of: DataFrame, given: DataFrame, width: int, scratch: Scratch, rows: int) -> tuple[DataFrame, int]:
-    """The pairs (a, b) of keys whose sets have a similarity of 0.8 or more, and their number. sets_of: (key, id, n,
-    sketch, wide) of each set; sizes of the sets of a pair differ by a quarter at most. rows: about how many pairs there are at most."""
-    left, right = (sets_of.select(F.col("key").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"), F.col("wide").alias(f"w{c}")) for c in "ab")
-    met = pairs.distinct().join(left, "a").join(right, "b").where(_close("sa", "sb", "na", "nb"))
+    """The pairs (a, b) of keys of different roots whose sets have a similarity of 0.8 or more, and about their number.
+    sets_of: (key, root, id, n, sketch, wide) of each set; sizes of the sets of a pair differ by a quarter at most. rows: about how many pairs there are at most."""
+    left, right = (sets_of.select(F.col("key").alias(c), F.col("root").alias(f"r{c}"), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"), F.col("wide").alias(f"w{c}")) for c in "ab")
+    met = pairs.distinct().join(left, "a").join(right, "b").where("ra <> rb").where(_close("sa", "sb", "na", "nb"))
     pairs = scratch.keep(met.where(_wide_close("wa", "wb", "na", "nb")).select("a", "b"), rows)
     rows = pairs.count()
     needed = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
@@ -217,6 +226,14 @@ def _alike(pairs: DataFrame, sets_of: DataFrame, given: DataFrame, width: int, s
     return out, rows
 
 
+def _merged(up: DataFrame, found: DataFrame, scratch: Scratch, rows: int) -> DataFrame:
+    """up (key, root, and other columns) after the pairs found (a, b): what has a root is linked, only the roots meet."""
+    of = up.select("key", "root")
+    joined = found.join(of.select(F.col("key").alias("a"), F.col("root").alias("ra")), "a").join(of.select(F.col("key").alias("b"), F.col("root").alias("rb")), "b")
+    top = roots_of(joined.select(F.col("ra").alias("a"), F.col("rb").alias("b")), scratch, rows=rows).select(F.col("vertex").alias("root"), F.col("root").alias("top"))
+    return up.join(top, "root", "left").select(*(c if c != "root" else F.coalesce("top", "root").alias("root") for c in up.columns))
+
+
 def _met(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     """Pairs that sizes and places in the order allow; both sides have key, n and pos, prefixed l and r."""
     met = left.join(right, on).where("lkey < rkey and 5 * least(ln, rn) >= 4 * greatest(ln, rn)")
@@ -237,8 +254,15 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     scratch = Scratch(spark, "near")
     given = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
     held = scratch.keep(_prefixes(given, width, _commonness(given, width)))
-    of = held.groupBy("key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("wide").alias("wide"))
-    sets_of = scratch.keep(of, 4 * held.count())
+    of = held.groupBy("key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("print").alias("print"), F.first("sketch").alias("sketch"), F.first("wide").alias("wide"))
+    alone = scratch.keep(of.withColumn("root", F.col("key")), 4 * held.count())
+    close, rows = simhash.block_pairs(alone.where("n > 0").select("key", "print"), scratch, DISTANCE, crowd)
+    sized = alone.select("key", "n")
+    fit = close.join(sized.toDF("a", "na"), "a").join(sized.toDF("b", "nb"), "b").where("5 * least(na, nb) >= 4 * greatest(na, nb)")
+    first, rows = _alike(fit.select("a", "b"), alone, given, width, scratch, rows)
+    sets_of = scratch.keep(_merged(alone.drop("print"), first, scratch, rows), 4 * held.count())
+    scratch.drop(alone, close, first)
+
     one = scratch.keep(held.where("n > 0").select("key", "n", "centre", "prefix").dropDuplicates(["key"]))
     shared = scratch.keep(one.select(F.explode("prefix").alias("s")).groupBy("s").agg(F.count("*").alias("c")).where("c > 1"))
     facts = shared.agg(F.count("*").alias("shingles"), F.coalesce(F.sum("c"), F.lit(0)).alias("rows")).first()
@@ -254,9 +278,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         starred = led.where(f"key <> p{i} and 5 * least(n, n{i}) >= 4 * greatest(n, n{i})")
         pairs = pairs.union(starred.select(F.least("key", f"p{i}").alias("a"), F.greatest("key", f"p{i}").alias("b")))
     links, rows = _alike(pairs, sets_of, given, width, scratch, rows)
-    roots = roots_of(links, scratch, rows=rows)
+    own = _merged(sets_of.select("key", "sketch", "root"), links, scratch, rows)
 
-    own = sets_of.join(roots, sets_of["key"] == roots["vertex"], "left").select("key", "sketch", F.coalesce("root", "key").alias("root"))
     placed = scratch.keep(many.select("s", "key", "n", "pos").join(own.select("key", "root"), "key"), rows)
     apart = placed.groupBy("s").agg(F.count("*").alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
     rest = placed.join(apart.select("s", F.ceil(F.col("c") / BLOCK).cast("int").alias("parts")), "s").join(own.select("key", "sketch"), "key")
@@ -267,11 +290,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     more = _met(left, right, ["s", "i", "j"]).where("lroot <> rroot").where(_close("ls", "rs", "ln", "rn"))
     more, rows = _alike(more.select(F.col("lkey").alias("a"), F.col("rkey").alias("b")), sets_of, given, width, scratch, placed.count())
 
-    # what is linked now are components: only their roots meet
-    up = own.select("key", "root")
-    joined = more.join(up.select(F.col("key").alias("a"), F.col("root").alias("ra")), "a").join(up.select(F.col("key").alias("b"), F.col("root").alias("rb")), "b")
-    top = roots_of(joined.select(F.col("ra").alias("a"), F.col("rb").alias("b")), scratch, rows=rows).select(F.col("vertex").alias("root"), F.col("root").alias("top"))
-    of = up.join(top, "root", "left").select("key", F.coalesce("top", "root").alias("root"))
+    of = _merged(own.select("key", "root"), more, scratch, rows)
     final = scratch.keep(held.select("id", "key").join(of, "key").select("id", "root"), held.count())
     scratch.drop(held, sets_of, member, placed, links, more)
     own = final

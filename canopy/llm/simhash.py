@@ -8,6 +8,8 @@ fingerprints of such keys are linked exactly in another way that is linear: two
 in at most 2 bits just if they have a common neighbour at distance 1 or less, so each is linked to
 the least fingerprint among those with the same neighbour. (At most 1 bit: just if one is a neighbour
 of the other.)
+
+Wider fingerprints, for looser copies, are lists of blocks of 32 bits, and one block in common makes two meet (block_pairs).
 """
 
 from __future__ import annotations
@@ -45,6 +47,20 @@ def fingerprint(text: bytes, width: int = 3) -> int:
     return int(np.packbits(2 * ones > total, bitorder="little").view(np.uint64)[0])
 
 
+def wide_fingerprint(hashes: np.ndarray, blocks: int = 16) -> np.ndarray:
+    """SimHash of hashed features (uint64) as an even number of blocks of 32 bits: as fingerprint, with every 64 bits
+    from hashes that are mixed anew. No features give zeros."""
+    ones = np.zeros(32 * blocks, np.int64)
+    salts = np.arange(1, blocks // 2 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for at in range(0, len(hashes), 255):  # so many bits sum up in 8 bits
+        mixed = (hashes[at : at + 255, None] ^ salts) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed ^= mixed >> np.uint64(31)
+        mixed *= np.uint64(0x94D049BB133111EB)
+        mixed ^= mixed >> np.uint64(32)
+        ones += np.unpackbits(mixed.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int32)
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """(id, fp): fp is the fingerprint as a signed 64-bit integer. A null text counts as empty (0)."""
     prepare(docs.sparkSession)
@@ -102,6 +118,31 @@ def links(prints: DataFrame, scratch: Scratch, distance: int = 2, blocks: int =
     return pairs.union(starred).distinct(), rows
 
 
+def block_pairs(prints: DataFrame, scratch: Scratch, distance: int, crowd: int = 32) -> tuple[DataFrame, int]:
+    """(a, b), a < b: keys whose wide fingerprints agree in a block and differ in at most `distance` bits; and about how
+    many pairs there are at most. By the pigeonhole principle these are all that differ in fewer bits than there are
+    blocks, and of those that differ in more the likelier the closer they are.
+
+    A block that more than `crowd` fingerprints share is not expanded into pairs: each of them meets one, by hash, and
+    the caller finds what links are missing then. prints: (key, print), keys distinct, prints of one length.
+    """
+    keyed = prints.select("key", F.posexplode("print").alias("i", "block"))
+    shared = keyed.groupBy("i", "block").agg(F.count("*").alias("n")).where("n > 1")
+    member = scratch.keep(keyed.join(shared, ["i", "block"]), prints.count())
+    rows = member.count()
+    few, many = member.where(F.col("n") <= crowd), member.where(F.col("n") > crowd)
+    pairs = few.select("i", "block", F.col("key").alias("a")).join(few.select("i", "block", F.col("key").alias("b")), ["i", "block"]).where("a < b").select("a", "b")
+    middle = many.groupBy("i", "block").agg(F.min_by("key", F.xxhash64("key", "i")).alias("p"))
+    starred = many.join(middle, ["i", "block"]).where("key <> p").select(F.least("key", "p").alias("a"), F.greatest("key", "p").alias("b"))
+    left, right = (prints.select(F.col("key").alias(c), F.col("print").alias(f"p{c}")) for c in "ab")
+    met = pairs.union(starred).distinct().join(left, "a").join(right, "b")
+    one = lambda x, y: F.bit_count(x.bitwiseXOR(y).cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF)))  # noqa: E731  (bit_count extends the sign to 64 bits)
+    apart = F.aggregate(F.zip_with("pa", "pb", one), F.lit(0), lambda sum_, x: sum_ + x)
+    close = scratch.keep(met.where(apart <= distance).select("a", "b"), rows)
+    scratch.drop(member)
+    return close, rows
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, distance: int = 2, blocks: int = 4) -> DataFrame:
     """Per row of docs: id, fingerprint (16 lowercase hex digits), component_id.
 

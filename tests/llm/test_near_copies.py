@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
 from canopy.llm import near_copies as near
+from canopy.llm import simhash
 from canopy.llm.near_copies import near_copies
+from canopy.sources.scratch import Scratch
 
 DATA = "/root/testdata/sf0.001"
 
@@ -97,3 +99,54 @@ def test_halves_of_a_sketch_fold():
     found = np.unique(np.random.default_rng(1).integers(0, 1 << 63, 3000, dtype=np.uint64))
     wide = near.sketch(found, 4096)
     assert (wide[:32] ^ wide[32:] == near.sketch(found, 2048)).all()
+
+
+def test_wide_fingerprint_is_a_majority_of_mixed_bits():
+    m, rng = (1 << 64) - 1, np.random.default_rng(8)
+
+    def mixed(x, salt):
+        x = (x ^ salt * 0x9E3779B97F4A7C15 & m) * 0xBF58476D1CE4E5B9 & m
+        x = (x ^ x >> 31) * 0x94D049BB133111EB & m
+        return x ^ x >> 32
+
+    for n in (0, 1, 2, 255, 256, 700):
+        found = rng.integers(0, 1 << 64, n, dtype=np.uint64)
+        want = [2 * sum(mixed(int(x), w + 1) >> b & 1 for x in found) > n for w in range(8) for b in range(64)]
+        got = simhash.wide_fingerprint(found)
+        assert len(got) == 16 and np.unpackbits(got.view(np.uint8), bitorder="little").astype(bool).tolist() == want
+
+
+@pytest.mark.parametrize("crowd", [32, 2])
+def test_block_pairs_lose_none_that_pigeonhole_finds(spark, crowd):
+    rng, prints = np.random.default_rng(9), []
+    for _ in range(12):  # from each start, ever further away
+        base = rng.integers(0, 2, 512)
+        for n in (0, 3, 9, 15, 40, 100, 200):
+            other = base.copy()
+            other[rng.choice(512, n, replace=False)] ^= 1
+            prints.append(other)
+    rows = [(k, np.packbits(x.astype(np.uint8), bitorder="little").view(np.int32).tolist()) for k, x in enumerate(prints)]
+    df = spark.createDataFrame(rows, "key bigint, print array<int>")
+    got = {tuple(r) for r in simhash.block_pairs(df, Scratch(spark, "test"), 60, crowd)[0].collect()}
+    apart = {(a, b): int((prints[a] != prints[b]).sum()) for b in range(len(prints)) for a in range(b)}
+    assert got and all(apart[p] <= 60 for p in got)
+    agree = {p for p in apart if any(x == y for x, y in zip(rows[p[0]][1], rows[p[1]][1]))}
+    assert {p for p in apart if apart[p] < 16} <= agree
+    if crowd == 32:  # no block is shared by more
+        assert got == {p for p in agree if apart[p] <= 60}
+    else:
+        assert got <= agree
+
+
+def test_simhash_links_close_copies_by_itself(spark, monkeypatch):
+    r = random.Random(7)
+    rows = []
+    for k in range(20):
+        text = [f"w{r.randrange(9000)}" for _ in range(400)]
+        rows += [(2 * k, " ".join(text)), (2 * k + 1, " ".join(text[:200] + ["new"] + text[201:]))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted(map(tuple, near_copies(docs).collect())) == [(k, k - k % 2) for k in range(40)]
+    none = lambda one, marks: one.select("key", "n", "centre", F.lit(0).alias("pos"), F.lit(0).cast("bigint").alias("s")).where("false")
+    monkeypatch.setattr(near, "_posts", none)  # without the exact search for the rest
+    got = [tuple(x) for x in near_copies(docs).collect()]
+    assert sum(c < k for k, c in got) >= 15 and all(c == k - k % 2 or c == k for k, c in got)
