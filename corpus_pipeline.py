@@ -43,8 +43,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (0.8 or more of their five-word shingles in common): the one
-    of the smallest id, and of rows that repeat it the one whose text has the smallest hash. Documents without an id
+    """One document of each group of near-duplicates (0.8 or more of their five-word shingles in common, found by
+    SimHash and, between what that leaves apart, exactly): the one of the smallest id, and of rows that repeat it the one whose text has the smallest hash. Documents without an id
     count after all others, in the order of that hash. Texts without words are one group."""
     text = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
     own = F.struct(F.coalesce(F.col("doc_id"), F.lit(1 << 62) + F.pmod(text, F.lit(1 << 61))).alias("id"), text.alias("text"))
