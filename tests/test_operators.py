@@ -217,3 +217,33 @@ def test_travel_negatives_meet_once_and_compare_numbers(spark):
     joins = [x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in x]
     assert any("a_camera_id" in x and "< b_camera_id" in x for x in joins)  # a pair of cameras stands there once
     assert not any("timestampdiff" in x.lower() for x in joins)  # no timestamps are subtracted for each pair
+
+
+def dealt_rows(plan):
+    """Rows that an executed plan deals over sequences of keys."""
+    kind = plan.getClass().getSimpleName()
+    inside = plan.executedPlan() if kind == "AdaptiveSparkPlanExec" else plan.plan() if kind.endswith("QueryStageExec") else None
+    children = [inside] if inside is not None else [plan.children().apply(i) for i in range(plan.children().size())]
+    own = plan.metrics().apply("numOutputRows").value() if kind == "GenerateExec" and "explode(sequence(" in plan.toString().splitlines()[0] else 0
+    return own + sum(map(dealt_rows, children))
+
+
+def test_travel_negatives_deal_videos_and_not_trips(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    places = [(0.0, 0.0), (0.0, 0.0), (10.0, 20.0), (-40.0, 100.0), (80.0, -170.0), (-5.0, -160.0), (5.0, 20.0)]
+    hours = np.concatenate([rng.integers(0, 2400, 500), np.full(100, 1200), rng.integers(1190, 1210, 100)])
+    cam = rng.integers(0, 7, 700)
+    ids = rng.permutation(700)
+    cameras = spark.createDataFrame([(i, *at) for i, at in enumerate(places)], "camera_id int, latitude double, longitude double")
+    rows = spark.createDataFrame([(int(i), int(c), int(h)) for i, c, h in zip(ids, cam, hours)], "video_id bigint, camera_id int, h int")
+    rows = rows.select("video_id", "camera_id", F.expr("timestamp_ntz'1999-12-01' + make_dt_interval(0, h)").alias("start_time"))
+    lat, lon = np.radians(np.array(places)[cam]).T
+    cos = np.sin(lat)[:, None] * np.sin(lat) + np.cos(lat)[:, None] * np.cos(lat) * np.cos(lon[:, None] - lon)
+    travel = 6371 * np.arccos(np.clip(cos, -1, 1)) / 100
+    met = (travel > np.abs(hours[:, None] - hours)) & (cam[:, None] != cam) & (ids[:, None] < ids)
+    want = sorted((int(ids[i]), int(ids[j])) for i, j in zip(*np.nonzero(met)))
+    for block in (256, 3):  # blocks that hold a camera's span, and many that do not
+        monkeypatch.setattr(mining, "BLOCK", block, raising=False)
+        found = mining.travel_negatives(rows, cameras, 100.0)
+        assert sorted(map(tuple, found.collect())) == want and len(want) > 10_000
+        assert 700 <= dealt_rows(found._jdf.queryExecution().executedPlan()) <= 2 * 700
